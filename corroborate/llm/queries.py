@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corroborate.llm import licenses, packing, quality, sharding
+from corroborate.llm import licenses, minhash, packing, quality, sharding, toxicity
 from corroborate.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.classify(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash.groups(table(spark, sf_dir, "documents"), minhash.Settings(words=3, percent=85, bands=48, rows=7))
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -27,6 +37,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op3_minhash": op3_minhash,
     "op6_licenses": op6_licenses,
     "op7_lpt_shards": op7_lpt_shards,
     "op8_quality": op8_quality,
