@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corroborate.llm import licenses, minhash, packing, quality, sharding, toxicity
+from corroborate.llm import brown_lm, licenses, minhash, packing, quality, sharding, toxicity
 from corroborate.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(table(spark, sf_dir, "documents"), most=1024)
 
@@ -42,6 +46,7 @@ QUERIES = {
     "op6_licenses": op6_licenses,
     "op7_lpt_shards": op7_lpt_shards,
     "op8_quality": op8_quality,
+    "op9_brown_lm": op9_brown_lm,
     "op10_packing": op10_packing,
 }
 
