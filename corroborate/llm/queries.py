@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corroborate.llm import brown_lm, licenses, minhash, packing, quality, sharding, toxicity
+from corroborate.llm import brown_lm, decontaminate, licenses, line_dedup, minhash, packing, quality, sharding, toxicity
 from corroborate.llm.common import table
 
 
@@ -19,6 +19,15 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", "n_removed", F.coalesce("source_ids", F.array().cast("array<bigint>")).alias("source_ids"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -43,6 +52,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_minhash": op3_minhash,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_decontaminate": op5_decontaminate,
     "op6_licenses": op6_licenses,
     "op7_lpt_shards": op7_lpt_shards,
     "op8_quality": op8_quality,
