@@ -118,19 +118,21 @@ def removals(docs: DataFrame, least_words: int) -> DataFrame:
     return found.groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"), F.array_sort(F.collect_set("source_id")).alias("source_ids"))
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = 20) -> DataFrame:
-    """``docs`` with aligned common blocks cut from later documents, and n_removed, source_ids.
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = 20, n_removed: str = "n_removed", source_ids: str = "source_ids") -> DataFrame:
+    """``docs`` with aligned common blocks cut from later documents, and two columns more.
 
     Of two documents the one with the larger doc_id is the later; rows with a null doc_id, and rows
     of the same doc_id among each other, are not compared. Lines compare by their words with A-Z
     lowered; lines without words do not count and stay. A text that loses nothing stays as it is, a
-    null text null; one that loses all its lines becomes empty. n_removed counts removed lines,
-    source_ids lists the earlier documents; all other columns are kept (those two names must be free).
+    null text null; one that loses all its lines becomes empty. ``n_removed`` counts removed lines
+    (0 for none), ``source_ids`` lists the earlier documents (null for none); a column of ``docs``
+    with one of those names is replaced, all others are kept.
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    gone = materialize(removals(own, least_words), "gone").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "gone", "source_ids")
-    keyed = docs.withColumn("_text_key", F.xxhash64(text))
-    marked = keyed.join(gone, (keyed[doc_id] == gone["_id"]) & (keyed["_text_key"] == gone["_key"]), "left")
-    left = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("gone", i))
-    changed = F.when(F.col("gone").isNotNull(), F.array_join(left, "\n")).otherwise(F.col(text))
-    return marked.withColumns({text: changed, "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long")}).drop("_text_key", "_id", "_key", "gone")
+    gone = materialize(removals(own, least_words), "gone").select(*[F.col(c).alias(f"_gone_{c}") for c in ("doc_id", "key", "gone", "source_ids")])
+    keyed = docs.drop(n_removed, source_ids).withColumn("_text_key", F.xxhash64(text))
+    marked = keyed.join(gone, (keyed[doc_id] == gone["_gone_doc_id"]) & (keyed["_text_key"] == gone["_gone_key"]), "left")
+    left = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_gone_gone", i))
+    changed = F.when(F.col("_gone_gone").isNotNull(), F.array_join(left, "\n")).otherwise(F.col(text))
+    added = {text: changed, n_removed: F.coalesce(F.size("_gone_gone"), F.lit(0)).cast("long"), source_ids: F.col("_gone_source_ids")}
+    return marked.withColumns(added).drop("_text_key", *gone.columns)

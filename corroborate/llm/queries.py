@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corroborate.llm import brown_lm, decontaminate, licenses, line_dedup, minhash, packing, quality, sharding, toxicity
+from corroborate.llm import brown_lm, decontaminate, html_extract, licenses, line_dedup, minhash, packing, quality, sharding, toxicity
 from corroborate.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"), html_extract.fit(spark))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = minhash.groups(table(spark, sf_dir, "documents"), minhash.Settings(words=3, percent=85, bands=48, rows=7))
     return out.select("doc_id", "n_shingles", "component_id", "kept")
@@ -51,6 +55,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_html": op2_html,
     "op3_minhash": op3_minhash,
     "op4_line_dedup": op4_line_dedup,
     "op5_decontaminate": op5_decontaminate,
