@@ -42,10 +42,13 @@ def shingle_texts(words: str, n: Column) -> Column:
 
 def fingerprint(hashes: str) -> Column:
     """SimHash: bit b is set if most of the hashes have it (repeats weigh as often as they occur)."""
-    out = F.lit(0).cast("long")
-    for b in range(64):
-        most = 2 * F.size(F.filter(hashes, lambda x, b=b: F.getbit(x, F.lit(b)) == 1)) > F.size(hashes)
-        out = out.bitwiseOR(F.when(most, F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
+    def bit(b: int) -> Column:
+        most = 2 * F.size(F.filter(hashes, lambda x: F.getbit(x, F.lit(b)) == 1)) > F.size(hashes)
+        return F.when(most, F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
+
+    out = bit(0)
+    for b in range(1, 64):
+        out = out.bitwiseOR(bit(b))
     return out
 
 
