@@ -6,47 +6,24 @@ see it, so work that is cut there survives the loss of an executor.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corroborate.sources.shared import materialize  # noqa: F401
+
 #: ASCII white space; a word is a maximal run of anything else.
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_OWN_DIR: dict[str, str] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read lazily so that column pruning reaches the scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only for an unset local session."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIR:
-        _OWN_DIR[app] = tempfile.mkdtemp(prefix="corroborate-")
-    return f"file://{_OWN_DIR[app]}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut, columns stay prunable."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corroborate/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def held_out(doc_id: Column, mod: int) -> Column:
     """True where crc32 of the id's text leaves remainder 2; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % mod == 2, F.lit(False))
