@@ -26,6 +26,10 @@ from corroborate.llm.components import components
 from corroborate.llm.hashing import WordHashes, mix, shingles
 
 
+#: Sets of up to this many shingles are compared in full inside a block.
+SMALL_SET = 1024
+
+
 @dataclass(frozen=True)
 class Settings:
     """Sets of ``words``-word shingles are linked at 100 * intersection >= ``percent`` * union.
@@ -123,6 +127,12 @@ def full_sets(docs: DataFrame, s: Settings) -> DataFrame:
     return docs.select(F.col("text").cast("binary")).mapInArrow(run, "node long, members binary")
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the limit."""
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the limit."""
     left = sets.select(F.col("node").alias("a"), F.col("members").alias("x"))
@@ -133,9 +143,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in parts:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
+                keep.append(_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return sized.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
@@ -145,20 +153,31 @@ def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _least_agreement(smaller: np.ndarray, percent: int) -> np.ndarray:
+    """The share of equal bins under which a pair cannot be a link but for a chance below 1e-7.
+
+    The fewer shingles, the fewer independent bins and the wider the margin; tiny sets get no limit.
+    """
+    return np.select([smaller >= 256, smaller >= 32], [percent - 16, percent - 35], 0)
+
+
 def _blocks(crowded: DataFrame, s: Settings) -> DataFrame:
-    """Plausible pairs of different components in large buckets, block against block.
+    """Pairs of different components in large buckets, block against block in memory.
 
-    A pair is left out if its sizes alone rule a link out, or if both sets are large (so that the
-    estimate is sharp) and their signatures agree on far fewer bins than a link would.
+    Only pairs leave the task whose sizes allow a link, whose signatures agree about as far as a
+    link's would, and, for sets up to SMALL_SET shingles, whose full sets are linked; so what is
+    emitted does not grow with the square of a bucket.
     """
     chunks = F.ceil(F.col("n") / s.block).cast("int")
     cut = crowded.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    cut = cut.select("bucket", "node", "root", "n_shingles", "sig", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    members = F.when(F.col("n_shingles") <= SMALL_SET, F.col("members"))
+    cut = cut.select("bucket", "node", "root", "n_shingles", "sig", members.alias("members"), "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def run(block: pa.Table) -> pa.Table:
         col = {k: block.column(k).to_numpy() for k in ("node", "root", "n_shingles", "own", "i", "j")}
         sig = np.vstack([np.frombuffer(x, "<u2") for x in block.column("sig").to_pylist()])
+        sets = [None if x is None else np.frombuffer(x, np.uint64) for x in block.column("members").to_pylist()]
         a, b = [], []
         for k in range(len(sig)):
             rest = slice(k + 1, None)
@@ -168,10 +187,13 @@ def _blocks(crowded: DataFrame, s: Settings) -> DataFrame:
             small, large = np.minimum(col["n_shingles"][rest], col["n_shingles"][k]), np.maximum(col["n_shingles"][rest], col["n_shingles"][k])
             ok &= 100 * small >= s.percent * large
             at = np.flatnonzero(ok) + k + 1
-            same = (sig[at] == sig[k]).mean(axis=1) if len(at) else np.zeros(0)
-            at = at[(same * 100 >= s.percent - 16) | (small[at - k - 1] < 256)]
-            a += [col["node"][k]] * len(at)
-            b += list(col["node"][at])
+            if not len(at):
+                continue
+            at = at[(sig[at] == sig[k]).mean(axis=1) * 100 >= _least_agreement(small[at - k - 1], s.percent)]
+            for m in at:
+                if sets[k] is None or sets[m] is None or _linked(sets[k], sets[m], s.percent):
+                    a.append(col["node"][k])
+                    b.append(col["node"][m])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return cut.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
@@ -208,13 +230,14 @@ def groups(docs: DataFrame, settings: Settings | None = None, doc_id: str = "doc
     labelled = members.join(roots, "node", "left").select("bucket", "centre", "node", F.coalesce("root", "node").alias("root"))
     still = labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("bucket", "n")
     extra = seen.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-    split = materialize(labelled.join(still, "bucket").join(extra, "node"), "split")
-    few = split.where(F.col("n") <= s.small).drop("sig")
+    split = labelled.join(still, "bucket").join(extra, "node")
+    few = materialize(split.where(F.col("n") <= s.small).drop("sig"), "few")
+    crowded = split.where(F.col("n") > s.small).join(sets, "node")
     one, two = few.alias("p"), few.alias("q")
     sized = 100 * F.least("p.n_shingles", "q.n_shingles") >= s.percent * F.greatest("p.n_shingles", "q.n_shingles")
     direct = one.join(two, F.col("p.bucket") == F.col("q.bucket")).where((F.col("p.node") < F.col("q.node")) & (F.col("p.root") != F.col("q.root")) & sized)
     direct = direct.select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
-    more = direct.union(_blocks(split.where(F.col("n") > s.small), s).select(*_ordered(F.col("a"), F.col("b")))).distinct().join(star, ["a", "b"], "left_anti")
+    more = direct.union(_blocks(crowded, s).select(*_ordered(F.col("a"), F.col("b")))).distinct().join(star, ["a", "b"], "left_anti")
     late = materialize(confirm(more, sets, s.percent), "late")
     if not late.isEmpty():
         roots = components(late.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
