@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 from corroborate.llm.common import batches, byte_words, materialize
 
 
+#: Keys of texts that lose lines are broadcast up to this many (20 MB); beyond, the same joins shuffle.
+KEY_ROWS = 1_000_000
+
+
 def patience(a: list, b: list) -> list[tuple[int, int]]:
     """Aligned positions (i, j) with a[i] == b[j], rising in both.
 
@@ -130,9 +134,16 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_wor
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     gone = materialize(removals(own, least_words), "gone").select(*[F.col(c).alias(f"_gone_{c}") for c in ("doc_id", "key", "gone", "source_ids")])
+    keys = gone.select("_gone_doc_id", "_gone_key")
+    if keys.count() <= KEY_ROWS:
+        keys = F.broadcast(keys)
     keyed = docs.drop(n_removed, source_ids).withColumn("_text_key", F.xxhash64(text))
-    marked = keyed.join(gone, (keyed[doc_id] == gone["_gone_doc_id"]) & (keyed["_text_key"] == gone["_gone_key"]), "left")
+    same = lambda other: (keyed[doc_id] == other["_gone_doc_id"]) & (keyed["_text_key"] == other["_gone_key"])
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast(gone.schema["_gone_source_ids"].dataType)
+    whole = keyed.join(keys, same(keys), "left_anti").withColumns({n_removed: zero, source_ids: none})
+    # Only texts that lose something are shuffled; a merge join at every size, so that needs grow evenly.
+    cut = keyed.join(keys, same(keys), "left_semi")
+    cut = cut.join(gone.hint("merge"), (cut[doc_id] == gone["_gone_doc_id"]) & (cut["_text_key"] == gone["_gone_key"]))
     left = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_gone_gone", i))
-    changed = F.when(F.col("_gone_gone").isNotNull(), F.array_join(left, "\n")).otherwise(F.col(text))
-    added = {text: changed, n_removed: F.coalesce(F.size("_gone_gone"), F.lit(0)).cast("long"), source_ids: F.col("_gone_source_ids")}
-    return marked.withColumns(added).drop("_text_key", *gone.columns)
+    cut = cut.withColumns({text: F.array_join(left, "\n"), n_removed: F.size("_gone_gone").cast("long"), source_ids: F.col("_gone_source_ids")})
+    return whole.drop("_text_key").unionByName(cut.drop("_text_key", *gone.columns))
