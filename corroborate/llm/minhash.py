@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corroborate.llm.common import batches, byte_words, materialize
+from corroborate.llm.common import LOWER, UPPER, batches, byte_words, materialize, words_of
 from corroborate.llm.components import components
 from corroborate.llm.hashing import WordHashes, mix, shingles
 
@@ -251,8 +251,8 @@ def groups(docs: DataFrame, settings: Settings | None = None, doc_id: str = "doc
 def keep_one(docs: DataFrame, settings: Settings | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` with one document of each group left, all columns as they were.
 
-    The group's smallest doc_id stays. Where a kept doc_id repeats with the same shingles, one of its
-    rows stays (of differing rows the one whose values sort first).
+    The group's smallest doc_id stays. Where a kept doc_id repeats with the same words, one of its rows
+    stays (the one whose values sort first as JSON); rows without words are linked with nothing and stay.
     """
     kept = materialize(groups(docs, settings, doc_id, text).where("kept").select(F.col("doc_id").alias("_id"), "node"), "kept")
     ids = kept.select("_id").distinct()
@@ -260,5 +260,8 @@ def keep_one(docs: DataFrame, settings: Settings | None = None, doc_id: str = "d
     same = lambda other: docs[doc_id].eqNullSafe(other["_id"])
     stay = docs.join(ids, same(ids), "left_semi")
     single = stay.join(again, stay[doc_id].eqNullSafe(again["_id"]), "left_anti")
-    repeated = stay.join(again, stay[doc_id].eqNullSafe(again["_id"]), "left_semi").dropDuplicates([doc_id, text])
-    return single.unionByName(repeated)
+    repeated = stay.join(again, stay[doc_id].eqNullSafe(again["_id"]), "left_semi")
+    words = F.translate(F.array_join(words_of(F.col(text)), " "), UPPER, LOWER)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = repeated.where(words != "").groupBy(F.col(doc_id).alias("_id"), F.xxhash64(words).alias("_words")).agg(F.min_by(row, F.to_json(row)).alias("_row"))
+    return single.unionByName(repeated.where(words == "")).unionByName(one.select("_row.*"))

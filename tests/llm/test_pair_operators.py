@@ -63,6 +63,16 @@ def test_groups(spark, settings):
     assert ids == sorted({c for _, _, c in brute(rows, settings.words, settings.percent)}, key=str)
 
 
+def test_keep_one_of_repeated_ids(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text, "b"), (1, text.replace(" ", "  ").upper(), "a"), (1, text, "b"), (1, "other words of one id", "c"), (2, text, "a"), (3, " ", "x"), (3, " ", "x"), (3, "alone here", None), (None, text, "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = sorted(map(tuple, minhash.keep_one(df).collect()), key=str)
+    assert kept == sorted([rows[1], rows[3], rows[5], rows[6], rows[7]], key=str)
+    assert minhash.keep_one(df.limit(0)).columns == df.columns
+
+
+
 def test_groups_of_nothing(spark):
     assert minhash.groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
