@@ -1,8 +1,11 @@
 """Line dedup by pairwise alignment.
 
-Documents that share a line hash are paired with the line's first holder (a star, so pairs grow with
-the shared lines and not with their square). Each pair is aligned by patience diff over its line
-hashes, and aligned common blocks of at least ``least_words`` words go from the later document.
+A single short line is often common, a run of lines rarely is. So the key of a line is the hash of the
+shortest run of lines from it, and to it, with ``least_words`` words: two documents share such a block
+exactly if they share the keys of its lines. Documents that share a key are paired with its first
+holder (a star, so pairs grow with the shared keys and not with their square). Each pair is aligned by
+patience diff over its line hashes, and aligned common blocks of at least ``least_words`` words go
+from the later document.
 """
 
 from __future__ import annotations
@@ -75,35 +78,46 @@ def common_lines(a: list, b: list, words: list[int], least_words: int) -> list[i
     return gone
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, key (of the text), and for each line with a word its hash, words and number."""
+def run_keys(hashes: list[int], words: list[int], least_words: int) -> list[int]:
+    """Distinct keys of the shortest runs with ``least_words`` words that start, or end, at each line."""
+    total = np.r_[0, np.cumsum(words, dtype=np.int64)]
+    n = len(hashes)
+    stop = np.searchsorted(total, total[:n] + least_words)
+    start = np.searchsorted(total, total[1:] - least_words, side="right") - 1
+    cuts = {(i, int(e)) for i, e in enumerate(stop) if e <= n} | {(int(i), e + 1) for e, i in enumerate(start) if i >= 0}
+    raw = np.asarray(hashes, dtype=np.int64).tobytes()
+    return list({xxhash.xxh3_64_intdigest(raw[8 * i : 8 * e]) - (1 << 63) for i, e in cuts})
+
+
+def _lines(docs: DataFrame, least_words: int) -> DataFrame:
+    """doc_id, key (of the text), for each line with a word its hash, words and number, and the run keys."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(parts):
-            hashes, words, places, total = [], [], [], []
+            hashes, words, places, keys = [], [], [], []
             for text in batch.column(2).to_pylist():
                 cut = [byte_words(x) for x in text.split(b"\n")] if text else []
                 worded = [k for k, x in enumerate(cut) if x]
                 hashes.append([xxhash.xxh3_64_intdigest(b" ".join(cut[k])) - (1 << 63) for k in worded])
                 words.append([len(cut[k]) for k in worded])
                 places.append(worded)
-                total.append(len(cut))
+                keys.append(run_keys(hashes[-1], words[-1], least_words))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(hashes, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32())), pa.array(places, pa.list_(pa.int32())), pa.array(total, pa.int32())],
-                names=["doc_id", "key", "hashes", "words", "places", "n_lines"],
+                [batch.column(0), batch.column(1), pa.array(hashes, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32())), pa.array(places, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "key", "hashes", "words", "places", "runs"],
             )
 
     cut = docs.select("doc_id", F.xxhash64("text").alias("key"), F.col("text").cast("binary"))
-    return cut.mapInArrow(run, f"doc_id {kind}, key long, hashes array<long>, words array<int>, places array<int>, n_lines int")
+    return cut.mapInArrow(run, f"doc_id {kind}, key long, hashes array<long>, words array<int>, places array<int>, runs array<long>")
 
 
 def removals(docs: DataFrame, least_words: int) -> DataFrame:
     """(doc_id, key, gone, n_words, sources): line numbers to remove and the earlier documents' ids."""
-    lined = materialize(_lines(docs).where("doc_id is not null").dropDuplicates(["doc_id", "key"]), "lines")
-    held = lined.select("doc_id", F.explode(F.array_distinct("hashes")).alias("h"))
+    lined = materialize(_lines(docs, least_words).where("doc_id is not null").dropDuplicates(["doc_id", "key"]), "lines")
+    held = lined.select("doc_id", F.explode("runs").alias("h"))
     first = held.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first")
-    pairs = lined.select("doc_id", "key", F.explode("hashes").alias("h")).join(first, "h").where("first < doc_id").select("doc_id", "key", "first").distinct()
+    pairs = lined.select("doc_id", "key", F.explode("runs").alias("h")).join(first, "h").where("first < doc_id").select("doc_id", "key", "first").distinct()
     # A first holder's id may be repeated: each of its texts is aligned.
     earlier = lined.select(F.col("doc_id").alias("first"), F.col("hashes").alias("a"))
     both = pairs.join(earlier, "first").join(lined, ["doc_id", "key"]).select("doc_id", "key", "first", "a", F.col("hashes").alias("b"), "words", "places")
@@ -111,7 +125,7 @@ def removals(docs: DataFrame, least_words: int) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            gone, n, keep = [], [], []
+            gone, keep = [], []
             for a, b, words, places in zip(*(batch.column(k).to_pylist() for k in range(3, 7)), strict=True):
                 at = common_lines(a, b, words, least_words)
                 gone.append([places[k] for k in at])

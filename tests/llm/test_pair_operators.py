@@ -94,6 +94,26 @@ def test_patience():
     assert line_dedup.patience([1, 2, 3, 4], [9, 2, 3, 8, 4]) == [(1, 1), (2, 2), (3, 4)]
 
 
+def test_run_keys():
+    r = random.Random(5)
+    for _ in range(300):
+        n = r.randint(0, 9)
+        hashes, words, least = [r.randrange(3) for _ in range(n)], [r.randint(1, 8) for _ in range(n)], r.randint(1, 14)
+        runs = set()
+        for i in range(n):
+            runs |= {tuple(hashes[i:e]) for e in [next((e for e in range(i + 1, n + 1) if sum(words[i:e]) >= least), None)] if e}
+            runs |= {tuple(hashes[k : i + 1]) for k in [next((k for k in range(i, -1, -1) if sum(words[k : i + 1]) >= least), None)] if k is not None}
+        assert len(line_dedup.run_keys(hashes, words, least)) == len(runs)
+    assert line_dedup.run_keys([], [], 20) == []
+
+
+def test_line_dedup_of_lines_first_held_apart(spark):
+    line = lambda k: " ".join(f"l{k}w{j}" for j in range(12))
+    rows = [(1, f"one\n{line(1)}\nx"), (2, f"two\n{line(2)}\ny"), (3, f"three\n{line(1)}\n{line(2)}"), (4, f"{line(1)}\n\n{line(2)}\nfour")]
+    got = {r.doc_id: (r.text, r.source_ids) for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (rows[0][1], None), 2: (rows[1][1], None), 3: (rows[2][1], None), 4: ("\nfour", [3])}
+
+
 def test_line_dedup(spark):
     passage = "\n".join(" ".join(f"p{j}w{k}" for k in range(15)) for j in range(4))
     own = lambda k: f"title of {k}\n" + " ".join(f"own{k}x{j}" for j in range(30))
