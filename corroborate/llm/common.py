@@ -19,6 +19,22 @@ SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Keys with more than one in so many of the rows are joined by broadcast: fewer than that many keys.
+HOT_KEYS = 2000
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``counted``, in which ``key`` is unique and ``n`` counts the key's rows.
+
+    Rows of the most common keys stay where they are and meet a broadcast of fewer than HOT_KEYS keys,
+    whatever the input; all others are shuffled. ``counted`` should be materialised (it is read often).
+    """
+    total = counted.agg(F.sum(n)).first()[0] or 0
+    hot, cold = counted.where(F.col(n) * HOT_KEYS > total), counted.where(F.col(n) * HOT_KEYS <= total)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.hint("merge"), key, how)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read lazily so that column pruning reaches the scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -20,12 +20,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corroborate.llm.common import batches, byte_words, materialize
+from corroborate.llm.common import batches, byte_words, join_counted, materialize
 
 #: Keys of texts that lose lines are broadcast up to this many (20 MB); beyond, the same joins shuffle.
 KEY_ROWS = 1_000_000
-#: The most common run keys are joined by broadcast, so none of them meets in one task.
-HOT_KEYS = 2000
 
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:
@@ -119,11 +117,7 @@ def removals(docs: DataFrame, least_words: int) -> DataFrame:
     keyed = lined.select("doc_id", "key", F.explode("runs").alias("h"))
     held = keyed.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
     held = materialize(held.where("first < last").select("h", "first", "n"), "shared")
-    # Keys with more than 1 / HOT_KEYS of all holdings: fewer than HOT_KEYS, whatever the input.
-    total = held.agg(F.sum("n")).first()[0] or 0
-    hot, cold = held.where(F.col("n") * HOT_KEYS > total).select("h", "first"), held.where(F.col("n") * HOT_KEYS <= total).select("h", "first")
-    rest = keyed.join(F.broadcast(hot.select("h")), "h", "left_anti").join(cold.hint("merge"), "h")
-    pairs = keyed.join(F.broadcast(hot), "h").unionByName(rest).where("first < doc_id").select("doc_id", "key", "first").distinct()
+    pairs = join_counted(keyed, held, "h", "n").where("first < doc_id").select("doc_id", "key", "first").distinct()
     # A first holder's id may be repeated: each of its texts is aligned.
     earlier = lined.select(F.col("doc_id").alias("first"), F.col("hashes").alias("a"))
     both = pairs.join(earlier, "first").join(lined, ["doc_id", "key"]).select("doc_id", "key", "first", "a", F.col("hashes").alias("b"), "words", "places")

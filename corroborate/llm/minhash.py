@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corroborate.llm.common import LOWER, UPPER, batches, byte_words, materialize, words_of
+from corroborate.llm.common import LOWER, UPPER, batches, byte_words, join_counted, materialize, words_of
 from corroborate.llm.components import components
 from corroborate.llm.hashing import WordHashes, mix, shingles
 
@@ -213,9 +213,9 @@ def groups(docs: DataFrame, settings: Settings | None = None, doc_id: str = "doc
     seen = materialize(signatures(own, s), "signatures")
     banded = seen.where("node is not null").select("node", F.explode("bands").alias("bucket"))
     mixed = F.col("node").bitwiseXOR(F.col("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min(mixed).alias("low"), F.max(mixed).alias("high")).where("low < high")
-    shared = shared.select("bucket", F.col("low").bitwiseXOR(F.col("bucket")).alias("centre"))
-    members = materialize(banded.join(shared, "bucket").select("bucket", "centre", "node").distinct(), "members")
+    shared = banded.groupBy("bucket").agg(F.min(mixed).alias("low"), F.max(mixed).alias("high"), F.count("*").alias("n")).where("low < high")
+    shared = materialize(shared.select("bucket", F.col("low").bitwiseXOR(F.col("bucket")).alias("centre"), "n"), "shared")
+    members = materialize(join_counted(banded, shared, "bucket", "n").select("bucket", "centre", "node").distinct(), "members")
 
     nodes = members.select("node").distinct()
     holder = seen.select("node", "doc_id").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_id"))
@@ -229,10 +229,11 @@ def groups(docs: DataFrame, settings: Settings | None = None, doc_id: str = "doc
 
     labelled = members.join(roots, "node", "left").select("bucket", "centre", "node", F.coalesce("root", "node").alias("root"))
     still = labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("bucket", "n")
-    extra = seen.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-    split = labelled.join(still, "bucket").join(extra, "node")
-    few = materialize(split.where(F.col("n") <= s.small).drop("sig"), "few")
-    crowded = split.where(F.col("n") > s.small).join(sets, "node")
+    split = materialize(join_counted(labelled, materialize(still, "still"), "bucket", "n"), "split")
+    extra = seen.where("node is not null").join(split.select("node").distinct(), "node", "left_semi").groupBy("node")
+    few = split.where(F.col("n") <= s.small).join(extra.agg(F.first("n_shingles").alias("n_shingles")), "node")
+    few = materialize(few, "few")
+    crowded = split.where(F.col("n") > s.small).join(extra.agg(F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "node").join(sets, "node")
     one, two = few.alias("p"), few.alias("q")
     sized = 100 * F.least("p.n_shingles", "q.n_shingles") >= s.percent * F.greatest("p.n_shingles", "q.n_shingles")
     direct = one.join(two, F.col("p.bucket") == F.col("q.bucket")).where((F.col("p.node") < F.col("q.node")) & (F.col("p.root") != F.col("q.root")) & sized)
@@ -242,9 +243,12 @@ def groups(docs: DataFrame, settings: Settings | None = None, doc_id: str = "doc
     if not late.isEmpty():
         roots = components(late.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
-    rooted = seen.select("doc_id", "n_shingles", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = rooted.join(least, "root", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
+    nodes = seen.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    nodes = materialize(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "nodes")
+    least = materialize(nodes.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("n")), "least")
+    placed = materialize(join_counted(nodes, least, "root", "n").select("node", "least", "copies"), "placed")
+    out = join_counted(seen.select("doc_id", "n_shingles", "node"), placed, "node", "copies", "left")
+    out = out.withColumn("component_id", F.coalesce("least", "doc_id"))
     return out.select("doc_id", "n_shingles", "node", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
