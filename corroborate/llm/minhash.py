@@ -217,8 +217,11 @@ def groups(docs: DataFrame, settings: Settings | None = None, doc_id: str = "doc
     shared = materialize(shared.select("bucket", F.col("low").bitwiseXOR(F.col("bucket")).alias("centre"), "n"), "shared")
     members = materialize(join_counted(banded, shared, "bucket", "n").select("bucket", "centre", "node").distinct(), "members")
 
+    # Copies are counted before any join, so a large group of them meets nowhere.
+    counted = seen.where("node is not null").groupBy("node")
+    firsts = materialize(counted.agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("n_shingles"), F.count("*").alias("copies")), "firsts")
     nodes = members.select("node").distinct()
-    holder = seen.select("node", "doc_id").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_id"))
+    holder = firsts.join(nodes, "node", "left_semi").select(F.col("first").alias("_id"))
     texts = own.join(holder, own["doc_id"].eqNullSafe(holder["_id"]), "left_semi")
     sets = full_sets(texts, s).join(nodes, "node", "left_semi").groupBy("node").agg(F.first("members").alias("members"))
     sets = materialize(sets, "sets")
@@ -230,10 +233,11 @@ def groups(docs: DataFrame, settings: Settings | None = None, doc_id: str = "doc
     labelled = members.join(roots, "node", "left").select("bucket", "centre", "node", F.coalesce("root", "node").alias("root"))
     still = labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("bucket", "n")
     split = materialize(join_counted(labelled, materialize(still, "still"), "bucket", "n"), "split")
-    extra = seen.where("node is not null").join(split.select("node").distinct(), "node", "left_semi").groupBy("node")
-    few = split.where(F.col("n") <= s.small).join(extra.agg(F.first("n_shingles").alias("n_shingles")), "node")
-    few = materialize(few, "few")
-    crowded = split.where(F.col("n") > s.small).join(extra.agg(F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "node").join(sets, "node")
+    few = materialize(split.where(F.col("n") <= s.small).join(firsts.select("node", "n_shingles"), "node"), "few")
+    crowded = split.where(F.col("n") > s.small)
+    held = firsts.join(crowded.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("_node"), "first")
+    one_of = seen.join(held, (seen["node"] == held["_node"]) & seen["doc_id"].eqNullSafe(held["first"])).groupBy("node")
+    crowded = crowded.join(one_of.agg(F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "node").join(sets, "node")
     one, two = few.alias("p"), few.alias("q")
     sized = 100 * F.least("p.n_shingles", "q.n_shingles") >= s.percent * F.greatest("p.n_shingles", "q.n_shingles")
     direct = one.join(two, F.col("p.bucket") == F.col("q.bucket")).where((F.col("p.node") < F.col("q.node")) & (F.col("p.root") != F.col("q.root")) & sized)
@@ -243,8 +247,8 @@ def groups(docs: DataFrame, settings: Settings | None = None, doc_id: str = "doc
     if not late.isEmpty():
         roots = components(late.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
-    nodes = seen.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    nodes = materialize(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "nodes")
+    nodes = firsts.drop("n_shingles").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    nodes = materialize(nodes, "nodes")
     least = materialize(nodes.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("n")), "least")
     placed = materialize(join_counted(nodes, least, "root", "n").select("node", "least", "copies"), "placed")
     out = join_counted(seen.select("doc_id", "n_shingles", "node"), placed, "node", "copies", "left")
