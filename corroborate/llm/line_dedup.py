@@ -4,8 +4,8 @@ A single short line is often common, a run of lines rarely is. So the key of a l
 shortest run of lines from it, and to it, with ``least_words`` words: two documents share such a block
 exactly if they share the keys of its lines. Documents that share a key are paired with its first
 holder (a star, so pairs grow with the shared keys and not with their square). Each pair is aligned by
-patience diff over its line hashes, and aligned common blocks of at least ``least_words`` words go
-from the later document.
+patience diff over its line hashes; blocks that repeat or moved, which it leaves, are matched by their
+runs. Common blocks of at least ``least_words`` words go from the later document.
 """
 
 from __future__ import annotations
@@ -65,27 +65,48 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def shortest_runs(words: list[int], least_words: int) -> set[tuple[int, int]]:
+    """(start, stop) of the shortest runs with ``least_words`` words that start, or end, at each line."""
+    total = np.r_[0, np.cumsum(words, dtype=np.int64)]
+    n = len(words)
+    stop = np.searchsorted(total, total[:n] + least_words)
+    start = np.searchsorted(total, total[1:] - least_words, side="right") - 1
+    return {(i, int(e)) for i, e in enumerate(stop) if e <= n} | {(int(i), e + 1) for e, i in enumerate(start) if i >= 0}
+
+
 def common_lines(a: list, b: list, words: list[int], least_words: int) -> list[int]:
-    """Positions in ``b`` of aligned blocks (adjacent in both) with at least ``least_words`` words."""
-    gone, block = [], []
+    """Positions in ``b`` of blocks (adjacent in both) with at least ``least_words`` words.
+
+    Patience aligns what stands once and in order. What it leaves, repeated or moved blocks, is matched
+    by the shortest runs: a block of enough words is covered by those it holds.
+    """
+    gone, block = set(), []
     for i, j in [*patience(a, b), (-9, -9)]:
         if block and (i, j) != (block[-1][0] + 1, block[-1][1] + 1):
             if sum(words[y] for _, y in block) >= least_words:
-                gone += [y for _, y in block]
+                gone.update(y for _, y in block)
             block = []
         block.append((i, j))
-    return gone
+    held = set(a)
+    if all(j in gone or x not in held for j, x in enumerate(b)):
+        return sorted(gone)
+    # Equal lines have equally many words, and lines of one side only end a run.
+    known, runs, at = dict(zip(b, words, strict=True)), set(), 0
+    for k in range(len(a) + 1):
+        if k == len(a) or a[k] not in known:
+            part = a[at:k]
+            runs |= {tuple(part[i:e]) for i, e in shortest_runs([known[x] for x in part], least_words)}
+            at = k + 1
+    for i, e in shortest_runs(words, least_words):
+        if tuple(b[i:e]) in runs:
+            gone.update(range(i, e))
+    return sorted(gone)
 
 
 def run_keys(hashes: list[int], words: list[int], least_words: int) -> list[int]:
     """Distinct keys of the shortest runs with ``least_words`` words that start, or end, at each line."""
-    total = np.r_[0, np.cumsum(words, dtype=np.int64)]
-    n = len(hashes)
-    stop = np.searchsorted(total, total[:n] + least_words)
-    start = np.searchsorted(total, total[1:] - least_words, side="right") - 1
-    cuts = {(i, int(e)) for i, e in enumerate(stop) if e <= n} | {(int(i), e + 1) for e, i in enumerate(start) if i >= 0}
     raw = np.asarray(hashes, dtype=np.int64).tobytes()
-    return list({xxhash.xxh3_64_intdigest(raw[8 * i : 8 * e]) - (1 << 63) for i, e in cuts})
+    return list({xxhash.xxh3_64_intdigest(raw[8 * i : 8 * e]) - (1 << 63) for i, e in shortest_runs(words, least_words)})
 
 
 def _lines(docs: DataFrame, least_words: int) -> DataFrame:
@@ -137,7 +158,7 @@ def removals(docs: DataFrame, least_words: int) -> DataFrame:
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = 20, n_removed: str = "n_removed", source_ids: str = "source_ids") -> DataFrame:
-    """``docs`` with aligned common blocks cut from later documents, and two columns more.
+    """``docs`` with common blocks of lines cut from later documents, and two columns more.
 
     Of two documents the one with the larger doc_id is the later; rows with a null doc_id, and rows
     of the same doc_id among each other, are not compared. Lines compare by their words with A-Z

@@ -127,6 +127,34 @@ def test_line_dedup(spark):
     assert line_dedup.dedup(df.limit(0).drop("source_ids")).count() == 0
 
 
+def covered(a, b, words, least):
+    """Positions in b of runs that a holds too, with enough words."""
+    spans = {tuple(a[i:e]) for i in range(len(a)) for e in range(i + 1, len(a) + 1)}
+    return sorted({k for j in range(len(b)) for e in range(j + 1, len(b) + 1) if tuple(b[j:e]) in spans and sum(words[j:e]) >= least for k in range(j, e)})
+
+
+def test_common_lines_against_brute_force():
+    r = random.Random(7)
+    for _ in range(1500):
+        kinds = r.randint(2, 8)
+        size = [r.randint(1, 9) for _ in range(kinds)]
+        a, b = [r.randrange(kinds) for _ in range(r.randint(0, 12))], [r.randrange(kinds) for _ in range(r.randint(0, 12))]
+        words, least = [size[x] for x in b], r.randint(1, 20)
+        assert line_dedup.common_lines(a, b, words, least) == covered(a, b, words, least)
+
+
+def test_line_dedup_of_repeated_and_swapped_passages(spark):
+    r = random.Random(11)
+    pool = [" ".join(f"p{k}w{j}" for j in range(n)) for k, n in enumerate((50, 12, 12, 30, 9, 7))]
+    docs = {1: [pool[0], "one", pool[0]], 2: ["two", pool[0], "deux"], 3: [pool[0], "three", pool[0], "trois"], 4: [pool[1], pool[2], "four", pool[3]], 5: [pool[3], "five", pool[1], pool[2]]}
+    docs |= {k: [r.choice([*pool, f"own {k} {j}"]) for j in range(r.randint(1, 9))] for k in range(6, 30)}
+    got = {x.doc_id: x.text for x in line_dedup.dedup(spark.createDataFrame([(k, "\n".join(t)) for k, t in docs.items()], "doc_id long, text string")).collect()}
+    for k, b in docs.items():
+        gone = {j for d, a in docs.items() if d < k for j in covered(a, b, [len(x.split()) for x in b], 20)}
+        assert got[k] == "\n".join(x for j, x in enumerate(b) if j not in gone)
+    assert got[2] == "two\ndeux" and got[3] == "three\ntrois" and got[5] == "five"
+
+
 PAGE = """<html><head><title>t</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav>
 <div class="cookie-notice">We use cookies</div><article><h1>Fish &amp;  chips</h1><p><b>First para&shy;graph of some length, which is long enough.<br><p>Second one
  goes on for a while, too.</p></article><div id="comments"><p>Great post, thanks a lot</p></div><footer>&copy; me</footer>"""
