@@ -1,15 +1,17 @@
 """License scan over a positional index of rare words.
 
-Native. Texts are split once. The corpus gives each licence word's document frequency; a file's
-highest-IDF licence words are looked up in the templates' postings, postings are intersected by
-relative position (document position minus template position), and every place left is verified by
-the template's mandatory key phrase. The template tables are constants, so what is broadcast is
-bounded by them.
+Native. Texts are split once. The corpus gives each licence word's document frequency; of every
+template that a file could hold (all words of its key phrase are there) the highest-IDF key words are
+looked up in the postings, postings are intersected by relative position (document position minus
+template position), and every place left is verified by the template's mandatory key phrase. All
+words looked up stand in the key phrase, so no place of it is missed. The template tables are
+constants, so what is broadcast is bounded by them.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,14 +64,18 @@ def _all(tests) -> Column:
     return out
 
 
-def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
-    """template, label, words, and where the key phrase starts in them."""
+def _rows(templates) -> list[tuple]:
     rows = []
     for k, (label, notice, key) in enumerate(templates):
         words, must = notice.split(), key.split()
         at = next(i for i in range(len(words)) if words[i : i + len(must)] == must)
         rows.append((k, label, words, at, must))
-    return spark.createDataFrame(rows, "template int, label string, t_words array<string>, key_at int, key_words array<string>")
+    return rows
+
+
+def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
+    """template, label, words, and where the key phrase starts in them."""
+    return spark.createDataFrame(_rows(templates), "template int, label string, t_words array<string>, key_at int, key_words array<string>")
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=TEMPLATES, rarest: int = 8, least_votes: int = 2) -> DataFrame:
@@ -79,6 +85,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=
     verified template's words found in place, at least 0.5 with a base label, 0 without any label.
     Null and empty texts have no words, labels '' and score 0. Rows are scanned one by one, so
     repeated rows repeat; ties between words of equal IDF go by the word. Other columns are unread.
+    ``rarest`` words, and ``least_votes`` at least, are looked up of each template's key phrase; all
+    of them must agree on a place.
     """
     spark = docs.sparkSession
     table = template_table(spark, templates)
@@ -98,19 +106,24 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=
     total = seen.count()
     idf = {w: math.log((total + 1) / (counts.get(w, 0) + 1)) for w in vocab}
     rank = {w: k for k, w in enumerate(sorted(vocab, key=lambda w: (-idf[w], w)))}
-    order = F.create_map(*[F.lit(x) for w in vocab for x in (w, rank[w])])
+    asked = [sorted(set(key.split()), key=rank.get)[: max(rarest, least_votes)] for _, _, key in templates]
 
     files = seen.where(F.col("words").isNotNull())
-    own = F.slice(F.transform(F.sort_array(F.transform("found", lambda w: F.struct(order[w].alias("k"), w.alias("w")))), lambda x: x["w"]), 1, rarest)
+    keys = F.array(*[F.struct(F.array(*map(F.lit, key.split())).alias("key"), F.array(*map(F.lit, ws)).alias("asked")) for (_, _, key), ws in zip(templates, asked, strict=True)])
+    held = F.filter(keys, lambda t: F.size(F.array_except(t["key"], F.col("found"))) == 0)
+    own = F.array_distinct(F.flatten(F.transform(held, lambda t: t["asked"])))
     base = [(label, F.size(p), p) for p, label in ((_places(F.col("words"), p), x) for p, x in BASE)]
     files = files.select("row", "words", own.alias("rare"), *[p.alias(f"p_{label}") for label, _, p in base])
     place = files.select("row", "rare", F.posexplode("words").alias("pos", "w")).where(F.array_contains("rare", F.col("w"))).drop("rare")
-    postings = table.select("template", "label", "t_words", "key_at", "key_words", F.posexplode("t_words").alias("t_pos", "w"))
+    # Places of the words asked within the key phrase; a place of the phrase holds them all.
+    spots = [(k, i, w) for (k, _, ws, at, must), ask in zip(_rows(templates), asked, strict=True) for i, w in enumerate(ws) if at <= i < at + len(must) and w in ask]
+    of_template = Counter(k for k, _, _ in spots)
+    postings = spark.createDataFrame([(k, i, w, of_template[k]) for k, i, w in spots], "template int, t_pos int, w string, spots int")
     votes = (
-        place.join(F.broadcast(postings.select("template", "t_pos", "w")), "w")
-        .groupBy("row", "template", (F.col("pos") - F.col("t_pos")).alias("shift"))
+        place.join(F.broadcast(postings), "w")
+        .groupBy("row", "template", "spots", (F.col("pos") - F.col("t_pos")).alias("shift"))
         .agg(F.count_distinct("t_pos").alias("votes"))
-        .where(F.col("votes") >= least_votes)
+        .where(F.col("votes") == F.col("spots"))
     )
     near = votes.join(F.broadcast(table), "template").join(files.select("row", "words"), "row")
     there = F.transform("t_words", lambda w, i: F.when(F.get("words", i + F.col("shift")) == w, 1).otherwise(0))

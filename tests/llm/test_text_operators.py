@@ -71,6 +71,20 @@ def test_license_places_are_verified(spark):
     assert got[1] == ("mit", 1.0) and got[2] == ("", 0.0) and got[3] == ("cc-by-nc", 1.0) and got[4] == ("", 0.0)
 
 
+def test_every_license_of_a_file(spark):
+    notices = [(label, notice) for label, notice, _ in licenses.TEMPLATES]
+    r = np.random.default_rng(4)
+    rows = [[6, 18, 12], [1, 7], [6, 9, 18], [1, 6, 9, 7, 8], list(range(len(notices)))]
+    rows += [r.permutation(len(notices))[: r.integers(2, 8)].tolist() for _ in range(25)]
+    texts = [" \n-- ".join(notices[k][1] for k in ks) for ks in rows]
+    got = {x.doc_id: x for x in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        w = re.findall(r"[0-9a-z]+", t)
+        places = [label for label, notice, key in licenses.TEMPLATES for k in range(len(w)) if w[k : k + len(key.split())] == key.split()]
+        base = [label for p, label in licenses.BASE if any(w[k : k + len(p.split())] == p.split() for k in range(len(w)))]
+        assert got[i].labels == ",".join(sorted({*places, *base})) and got[i].n_places == len(places) and got[i].score == 1.0
+
+
 def test_shards(docs, empty):
     rows = sharding.assign(docs, shards=3).collect()
     assert len(rows) == len(TEXTS) and sharding.assign(empty, shards=3).count() == 0
