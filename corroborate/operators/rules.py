@@ -179,12 +179,16 @@ def _addresses(ctx: Context) -> DataFrame:
 def near_pairs(addresses: DataFrame, least: float = NEAR_ADDRESS) -> DataFrame:
     """(packet_id, a, b, similarity, told): near-equal but different addresses within a packet.
 
-    The self-join is keyed by packet and bounded by length before any edit distance is computed.
+    Only pairs that differ in exactly one token are told, so the self-join is keyed by packet and the
+    address with one token left out, and bounded by length before any edit distance is computed.
     """
-    x = addresses.select("packet_id", F.col("address").alias("a"))
-    y = addresses.select("packet_id", F.col("address").alias("b"))
+    tokens = F.split("address", " ")
+    holes = addresses.select("packet_id", "address", F.posexplode(tokens).alias("hole", "_"))
+    rest = F.array_join(F.transform(tokens, lambda t, i: F.when(i == F.col("hole"), F.lit("*")).otherwise(t)), " ")
+    holes = holes.select("packet_id", "address", "hole", rest.alias("rest"))
+    x, y = holes.withColumnRenamed("address", "a"), holes.withColumnRenamed("address", "b")
     short, long_ = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
-    pairs = x.join(y, "packet_id").where((F.col("a") < F.col("b")) & (short >= long_ * least))
+    pairs = x.join(y, ["packet_id", "hole", "rest"]).where((F.col("a") < F.col("b")) & (short >= long_ * least)).select("packet_id", "a", "b")
     return pairs.withColumn("similarity", N.similarity(F.col("a"), F.col("b"))).where(F.col("similarity") >= least).withColumn("told", N.distinguishing_token(F.col("a"), F.col("b"))).where("told is not null")
 
 

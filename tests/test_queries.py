@@ -9,6 +9,10 @@ import duckdb
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
+from corroborate.functions import normalize as N
+from corroborate.operators.rules import NEAR_ADDRESS, near_pairs
 from corroborate.plans.queries import ORACLES, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
@@ -34,6 +38,19 @@ def test_same_as_sql(spark, name):
     assert rows(got) == rows(want)
 
 
+def test_near_pairs_against_all_pairs(spark):
+    streets = ["MAIN QUARRY", "MAIN  QUARRY", "OAK HILL ROAD EXTENDED"]
+    rows = [(p, f"{n} {s} {e}") for p in ("1", "2", None) for n in (1, 2, 10, 11, 100) for s in streets for e in ("ST", "AVE", "*")] + [("1", None), ("1", "10 MAIN QUARRY ST")]
+    df = spark.createDataFrame(rows, "packet_id string, address string")
+    x, y = df.withColumnRenamed("address", "a"), df.withColumnRenamed("address", "b")
+    want = x.join(y, "packet_id").where("a < b").withColumn("similarity", N.similarity(F.col("a"), F.col("b"))).withColumn("told", N.distinguishing_token(F.col("a"), F.col("b")))
+    want = want.where(F.col("told").isNotNull() & (F.col("similarity") >= NEAR_ADDRESS))
+    got = near_pairs(df)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect())) != []
+    # The join sees one token's alternatives, never all addresses of a packet.
+    assert "rest" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_entry_without_corpus_part(tmp_path):
     for p in ("corroborate", "__spark_entry__.py"):
         (tmp_path / p).symlink_to(ROOT / p)
