@@ -160,6 +160,16 @@ def test_brown_model(spark, docs, empty):
     assert brown_lm.score(empty, s).count() == 0
 
 
+def test_brown_words_of_equal_ending_by_their_contexts(spark):
+    r = np.random.default_rng(1)
+    rows = [(k, " ".join(f"{x}{r.integers(3)}q {x}{r.integers(3)}q {x}{r.integers(30)}same" for _ in range(60))) for k in range(300) for x in ("la", "zo")]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").select(F.col("text").cast("binary").alias("text"))
+    model, _ = brown_lm.train(texts, brown_lm.Settings(head=100, clustered=6, endings=4, classes=12, ample=50))
+    words = model.words.decode().split("\n")
+    classes = {x: {int(c) for w, c in zip(words, model.word_class) if w.startswith(x) and w.endswith("same")} for x in ("la", "zo")}
+    assert len(words) == 66 and not classes["la"] & classes["zo"]
+
+
 def test_exchange_finds_the_two_languages():
     r = np.random.default_rng(0)
     pairs = np.zeros((21, 21))
