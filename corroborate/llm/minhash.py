@@ -208,7 +208,11 @@ def groups(docs: DataFrame, settings: Settings | None = None, doc_id: str = "doc
     repeat a doc_id are judged by their own texts. An empty table gives no rows. Other columns of
     ``docs`` are not read.
     """
-    s = settings or Settings()
+    return _rooted(docs, settings or Settings(), doc_id, text).drop("root")
+
+
+def _rooted(docs: DataFrame, s: Settings, doc_id: str, text: str) -> DataFrame:
+    """The rows of ``groups`` and the root node of each one's component."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     seen = materialize(signatures(own, s), "signatures")
     banded = seen.where("node is not null").select("node", F.explode("bands").alias("bucket"))
@@ -250,26 +254,34 @@ def groups(docs: DataFrame, settings: Settings | None = None, doc_id: str = "doc
     nodes = firsts.drop("n_shingles").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     nodes = materialize(nodes, "nodes")
     least = materialize(nodes.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("n")), "least")
-    placed = materialize(join_counted(nodes, least, "root", "n").select("node", "least", "copies"), "placed")
+    placed = materialize(join_counted(nodes, least, "root", "n").select("node", "root", "least", "copies"), "placed")
     out = join_counted(seen.select("doc_id", "n_shingles", "node"), placed, "node", "copies", "left")
     out = out.withColumn("component_id", F.coalesce("least", "doc_id"))
-    return out.select("doc_id", "n_shingles", "node", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "node", "root", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, settings: Settings | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` with one document of each group left, all columns as they were.
 
-    The group's smallest doc_id stays. Where a kept doc_id repeats with the same words, one of its rows
-    stays (the one whose values sort first as JSON); rows without words are linked with nothing and stay.
+    The group's smallest doc_id stays. Rows that repeat a doc_id are judged by their own texts, and one of
+    those in a group stays (the one whose values sort first as JSON); rows without words are linked with
+    nothing and stay.
     """
-    kept = materialize(groups(docs, settings, doc_id, text).where("kept").select(F.col("doc_id").alias("_id"), "node"), "kept")
-    ids = kept.select("_id").distinct()
-    again = kept.where("node is not null").groupBy("_id", "node").agg(F.count("*").alias("n")).where("n > 1").select("_id").distinct()
-    same = lambda other: docs[doc_id].eqNullSafe(other["_id"])
-    stay = docs.join(ids, same(ids), "left_semi")
-    single = stay.join(again, stay[doc_id].eqNullSafe(again["_id"]), "left_anti")
-    repeated = stay.join(again, stay[doc_id].eqNullSafe(again["_id"]), "left_semi")
-    words = F.translate(F.array_join(words_of(F.col(text)), " "), UPPER, LOWER)
+    s = settings or Settings()
+    all_rows = materialize(_rooted(docs, s, doc_id, text).select(F.col("doc_id").alias("_id"), "node", "root", "kept"), "kept")
+    kept = all_rows.where("kept")
+    again = materialize(all_rows.groupBy("_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept")).where("kept and n > 1").select("_id"), "again")
+    same = lambda one, other: one.eqNullSafe(other["_id"])
+    ids = kept.join(again.withColumnRenamed("_id", "_again"), F.col("_id").eqNullSafe(F.col("_again")), "left_anti").select("_id")
+    single = docs.join(ids, same(docs[doc_id], ids), "left_semi")
+    repeated = docs.join(again, same(docs[doc_id], again), "left_semi")
+    worded = F.size(words_of(F.col(text))) > 0
+    # Nodes of the repeated rows' texts; only they are hashed again.
+    texts = repeated.where(worded).select(F.xxhash64(text).alias("doc_id"), F.col(text).alias("text")).dropDuplicates(["doc_id"])
+    nodes = signatures(texts, s).select(F.col("doc_id").alias("_text"), "node")
+    roots = kept.where("node is not null").join(again.withColumnRenamed("_id", "_again"), F.col("_id").eqNullSafe(F.col("_again")), "left_semi").select("_id", "node", "root").distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = repeated.where(words != "").groupBy(F.col(doc_id).alias("_id"), F.xxhash64(words).alias("_words")).agg(F.min_by(row, F.to_json(row)).alias("_row"))
-    return single.unionByName(repeated.where(words == "")).unionByName(one.select("_row.*"))
+    rows = repeated.where(worded).select(F.col(doc_id).alias("_own"), F.xxhash64(text).alias("_text"), row.alias("_row")).join(nodes, "_text")
+    rows = rows.join(roots, (rows["node"] == roots["node"]) & same(rows["_own"], roots))
+    one = rows.groupBy("_own", "root").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
+    return single.unionByName(repeated.where(~worded)).unionByName(one.select("_row.*"))

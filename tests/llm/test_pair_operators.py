@@ -73,6 +73,14 @@ def test_keep_one_of_repeated_ids(spark):
 
 
 
+def test_keep_one_judges_rows_of_an_id_by_their_texts(spark):
+    x, y, z = (" ".join(f"{c}{k}" for k in range(60)) for c in "xyz")
+    near = lambda t: t + " more"
+    rows = [(3, y), (5, x), (5, near(y)), (6, z), (6, near(z)), (None, near(x)), (None, "no id and alone"), (7, None), (7, near(z))]
+    kept = minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([rows[0], rows[1], rows[4], rows[6], rows[7]], key=str)
+
+
 def test_groups_of_nothing(spark):
     assert minhash.groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
