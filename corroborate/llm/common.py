@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corroborate.sources.shared import materialize  # noqa: F401
+from corroborate.sources.shared import Scratch, discard, materialize  # noqa: F401
 
 #: ASCII white space; a word is a maximal run of anything else.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -23,16 +23,29 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HOT_KEYS = 2000
 
 
-def join_counted(rows: DataFrame, counted: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:
+def join_counted(rows: DataFrame, counted: DataFrame, key: str | list[str], n: str, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``counted``, in which ``key`` is unique and ``n`` counts the key's rows.
 
     Rows of the most common keys stay where they are and meet a broadcast of fewer than HOT_KEYS keys,
     whatever the input; all others are shuffled. ``counted`` should be materialised (it is read often).
     """
-    total = counted.agg(F.sum(n)).first()[0] or 0
+    total, keys = counted.agg(F.sum(n)).first()[0] or 0, [key] if isinstance(key, str) else key
     hot, cold = counted.where(F.col(n) * HOT_KEYS > total), counted.where(F.col(n) * HOT_KEYS <= total)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.hint("merge"), key, how)
-    return rows.join(F.broadcast(hot), key).unionByName(rest)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold.hint("merge"), keys, how)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows (it should be materialised)."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have."""
+    known, name = {c.lower() for c in df.columns}, f"_{stem}"
+    while name.lower() in known:
+        name = f"_{name}"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

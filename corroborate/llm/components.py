@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corroborate.llm.common import materialize
+from corroborate.llm.common import Scratch, discard, materialize
 
 
 def _large(links: DataFrame) -> DataFrame:
@@ -26,19 +26,23 @@ def _small(links: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).where("a != b").distinct()
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, most_rounds: int = 60, scratch: Scratch | None = None) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b: long); root is the component's smallest node.
 
-    Self links and repeated links change nothing; an empty table gives no rows.
+    Self links and repeated links change nothing; an empty table gives no rows. The table that the
+    result is read from goes with ``scratch``.
     """
     now = materialize(links.where("a != b").select("a", "b").distinct(), "links")
     mark = None
     for _ in range(most_rounds):
-        now = materialize(_small(_large(now)), "links")
+        before, now = now, materialize(_small(_large(now)), "links")
+        discard(before)
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if seen == mark:
             break
         mark = seen
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    if scratch is not None:
+        scratch.tables.append(now)
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
