@@ -6,8 +6,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Glyphs that scans confuse.
-CONFUSIONS = {"0": "O", "O": "0", "1": "l", "l": "1", "I": "1", "5": "S", "S": "5", "8": "B", "B": "8", "2": "Z", "Z": "2", "m": "rn"}
+#: What a scan may read a glyph as.
+CONFUSIONS = {
+    "0": ["O"], "O": ["0"], "1": ["I", "l"], "I": ["1"], "l": ["1"], "5": ["S"], "S": ["5"], "8": ["B"], "B": ["8"],
+    "2": ["Z"], "Z": ["2"], "6": ["G"], "G": ["6"], "m": ["rn"], "e": ["c"], "c": ["e"],
+}
 MASK = 0xFFFFFFFF
 
 
@@ -26,9 +29,18 @@ def mulberry32(seed: int):
 
 
 def perturb_text(text: str, seed: int, rate: float = 0.015) -> str:
-    """``text`` with confusable glyphs swapped at ``rate``; other characters take no draw."""
+    """``text`` with confusable glyphs swapped at ``rate``.
+
+    Each such glyph takes a draw, one that is hit a second for its reading; other characters take none.
+    A rate of 0 or less changes nothing.
+    """
     draw = mulberry32(seed)
-    return "".join(CONFUSIONS[c] if c in CONFUSIONS and draw() < rate else c for c in text)
+
+    def read(c: str) -> str:
+        readings = CONFUSIONS.get(c)
+        return readings[int(draw() * len(readings))] if readings and draw() < rate else c
+
+    return "".join(map(read, text)) if rate > 0 else text
 
 
 def perturb(docs: DataFrame, text: str, seed: str, rate: float = 0.015) -> DataFrame:

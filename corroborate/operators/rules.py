@@ -83,7 +83,8 @@ def vin_uniqueness(ctx: Context) -> DataFrame:
     model = ctx.effective("year_make_model").select("packet_id", F.col("f.entity_key").alias("unit"), F.col("f").alias("model"))
     detail = of_unit.join(worth, ["packet_id", "unit"], "left").join(model, ["packet_id", "unit"], "left")
     per = detail.groupBy("packet_id", "vin").agg(F.count_distinct("worth.value.canonical").alias("w"), F.count_distinct("model.value.canonical").alias("m"), F.collect_list("worth").alias("worths"), F.collect_list("model").alias("models"))
-    bad = per.groupBy("packet_id").agg(F.max(F.col("w") > 1).alias("rated"), F.max(F.col("m") > 1).alias("described"), F.array_sort(F.collect_set("vin")).alias("vins"), F.flatten(F.collect_list(F.concat("worths", "models"))).alias("more"))
+    by_seq = lambda a, b: F.when(a["fact_seq"] < b["fact_seq"], -1).when(a["fact_seq"] > b["fact_seq"], 1).otherwise(0)
+    bad = per.groupBy("packet_id").agg(F.max(F.col("w") > 1).alias("rated"), F.max(F.col("m") > 1).alias("described"), F.array_sort(F.collect_set("vin")).alias("vins"), F.array_sort(F.flatten(F.collect_list(F.concat("worths", "models"))), by_seq).alias("more"))
     rows = gathered(vins, "all").join(bad, "packet_id", "left")
     hit = F.col("vins").isNotNull()
     held = F.when(hit, F.concat(F.filter("all", lambda f: F.array_contains("vins", f["value"]["canonical"])), "more")).otherwise(F.col("all"))
