@@ -81,7 +81,8 @@ def classify(groups: DataFrame, marks: DataFrame) -> DataFrame:
         )
         .otherwise(F.array(signal("contradiction.no-reconciling-document", 0.45), signal("evidence.asserted-by-separate-documents", 0.12, F.col("docs") > 1), q(0.30)))
     )
-    readings = F.array_join(F.slice("surfaces", 1, 3), " / ")
+    first_of = lambda s: F.get(F.filter("facts", lambda f: N.surface(f["raw"]) == s), F.lit(0))
+    readings = F.array_join(F.transform(F.slice("surfaces", 1, 3), lambda s: N.cited(first_of(s))), " / ")
     why = (
         F.when(F.col("classification") == "consistent", F.concat(F.lit("All readings agree: "), readings))
         .when(F.col("classification") == "benign_variant", F.concat(F.lit("One value in several notations: "), readings))

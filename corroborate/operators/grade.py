@@ -160,12 +160,10 @@ def case_rollup(graded: DataFrame, cases: DataFrame, packets: DataFrame) -> Data
 def engine_delta(a: DataFrame, b: DataFrame) -> DataFrame:
     """What one engine's graded rows have over the other's: (kind, item) for caught and false conflicts."""
     item = F.concat("packet_id", F.lit(" · "), "label").alias("item")
-    pick = lambda df, o: df.where(F.col("outcome") == o).select(item).distinct()
-    out = None
-    for kind, x, y, o in (("caught_only_a", a, b, "conflict_caught"), ("caught_only_b", b, a, "conflict_caught"), ("false_only_b", b, a, "false_conflict"), ("false_only_a", a, b, "false_conflict")):
-        part = pick(x, o).join(pick(y, o), "item", "left_anti").select(F.lit(kind).alias("kind"), "item")
-        out = part if out is None else out.unionByName(part)
-    return out
+    side = lambda df, x: df.where(F.col("outcome").isin("conflict_caught", "false_conflict")).select("outcome", item, F.lit(x).alias("side"))
+    both = side(a, "a").unionByName(side(b, "b")).groupBy("outcome", "item").agg(F.min("side").alias("first"), F.max("side").alias("last"))
+    kind = F.concat(F.when(F.col("outcome") == "conflict_caught", "caught_only_").otherwise("false_only_"), "first")
+    return both.where(F.col("first") == F.col("last")).select(kind.alias("kind"), "item")
 
 
 def facets(graded: DataFrame, **equal) -> DataFrame:

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corroborate.operators import browse
 from corroborate.operators import classify as C
 from corroborate.operators import extract as X
 from corroborate.operators import grade as G
 from corroborate.operators import link as L
 from corroborate.operators import review as R
 from corroborate.operators import rules as U
+from corroborate.sources.runs import borrow_evidence
 from corroborate.sources.shared import materialize
 
 SPANS = "array<struct<document_id:string,start:int,end:int,quote:string>>"
@@ -83,10 +85,36 @@ def bench(packets: DataFrame, documents: DataFrame, labels: DataFrame, cases: Da
     return Bench(a, b, G.engine_delta(a.graded, b.graded), R.agreement(decisions.where("engine = 'reference'")))
 
 
-def focus_first(findings: DataFrame, packets: DataFrame) -> DataFrame:
-    """Findings other than consistent, the packet's focus group first."""
-    rows = findings.where("classification <> 'consistent'").join(packets.select("packet_id", "focus_group"), "packet_id")
-    return rows.orderBy("packet_id", (F.col("group_key") == F.col("focus_group")).desc(), "finding_seq")
+@dataclass(frozen=True)
+class Reviews:
+    """How reviewers and the engine agree, on one engine's graded rows."""
+
+    agreement: DataFrame
+    disputed: DataFrame
+    calibration: DataFrame
+    reviewers: DataFrame
+
+
+def score_reviews(decisions: DataFrame, graded: DataFrame) -> Reviews:
+    """All figures of a review log; decisions on groups that were not graded count in the verdicts only."""
+    return Reviews(R.agreement(decisions), R.disputed(decisions, graded), R.human_calibration(decisions, graded), R.inter_reviewer(decisions))
+
+
+@dataclass(frozen=True)
+class External:
+    external: Score
+    main: Score
+    delta: DataFrame
+
+
+def grade_external(run: DataFrame, packets: DataFrame, labels: DataFrame, cases: DataFrame, analysis: Analysis) -> External:
+    """A run reported from outside (``runs.read_run``) and the main engine, on the same labels.
+
+    Raises BadInput for a packet that is not in the corpus.
+    """
+    theirs = score(packets, labels, borrow_evidence(run, packets, analysis.groups), cases)
+    ours = score(packets, labels, analysis.findings, cases)
+    return External(theirs, ours, G.engine_delta(ours.graded, theirs.graded))
 
 
 def report(s: Score) -> list[str]:
@@ -95,3 +123,21 @@ def report(s: Score) -> list[str]:
     rate = lambda x: "—" if x["value"] is None else f"{100 * x['value']:.1f}%"
     out = [f"{k.replace('_', ' '):<28}{rate(v):>8}  ({v['n']}/{v['of']})" for k, v in row.items() if isinstance(v, dict)]
     return [*out, f"{'review load':<28}{row['review_load']:>8.2f}"]
+
+
+#: What a difference between engines means, in the order it is told.
+DIFFERENCES = {
+    "caught_only_a": "caught only by the main engine", "caught_only_b": "caught only by the {other}",
+    "false_only_b": "false alarms of the {other} alone", "false_only_a": "false alarms of the main engine alone",
+}
+
+
+def comparison(main: Score, other: Score, delta: DataFrame, name: str = "baseline") -> list[str]:
+    """Both engines' headline side by side, then what sets them apart (``delta`` of one corpus: a short list)."""
+    rows = browse.ablation(main.headline, other.headline).collect()
+    out = [f"{'':<44}{'main':>20}{name:>20}", *[f"{r['measure']:<44}{r['a']:>20}{r['b']:>20}" for r in rows]]
+    apart = delta.orderBy("kind", "item").collect()
+    for kind, text in DIFFERENCES.items():
+        items = [r["item"] for r in apart if r["kind"] == kind]
+        out += ["", text.format(other=name), *[f"  {x}" for x in items]] if items else []
+    return out

@@ -152,6 +152,24 @@ def generated(spark: SparkSession, variants: int = 6) -> tuple[DataFrame, DataFr
     return spark.createDataFrame(packets, PACKETS), spark.createDataFrame(docs, DOCUMENTS), spark.createDataFrame(labels, LABELS)
 
 
+def known_failures(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(packets, documents, labels) that the engine is known to get wrong; never part of what is graded.
+
+    A note adds a tenth unit, then a later mail repeats the old count by habit. A reader sees a change
+    and a stale figure; the engine sees a conflict, because only the latest reading may announce a change.
+    """
+    at, vin = datetime(2025, 3, 3, 8), _vin(random.Random(77))
+    texts = [
+        ("application", "Application", at, _form(number_of_vehicles="9")),
+        ("email", "Delivery of a truck", at + timedelta(days=6), _mail("One more truck", f"Please ADD Unit 10 to the policy.\nVIN {vin}, same yard.\nStated value $121,000.\nThat makes 10 power units.")),
+        ("email", "Any news", at + timedelta(days=9), _mail("Any news", "Just asking after the quote for their 9 power units.")),
+    ]
+    key = "policy::stated_vehicle_count"
+    packets = [("KF-1", 0, "Old count repeated after a change", "Carrier KF-1", 6, "hard_negative", "made up", key, "stale figure")]
+    docs = [("KF-1", k, f"KF-1-D{k}", kind, title, when, text) for k, (kind, title, when, text) in enumerate(texts)]
+    return spark.createDataFrame(packets, PACKETS), spark.createDataFrame(docs, DOCUMENTS), spark.createDataFrame([("KF-1", key, "supersession")], LABELS)
+
+
 def taxonomy(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TAXONOMY, "id int, bucket string, name string, tests string")
 

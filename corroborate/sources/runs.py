@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,19 +17,20 @@ class BadInput(ValueError):
     """Input that does not have the shape it must have; the message names the first offender."""
 
 
-def read_run(spark: SparkSession, path: str) -> DataFrame:
-    """One row per reported finding of a run file, checked."""
-    return run_findings(spark.read.schema(RUN).option("multiLine", True).option("mode", "FAILFAST").json(path))
+def read_run(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per reported finding of a run file, checked; ``lines`` reads what ``write_run`` wrote."""
+    return run_findings(spark.read.schema(RUN).option("multiLine", not lines).option("mode", "FAILFAST").json(path))
 
 
 def run_findings(run: DataFrame) -> DataFrame:
-    """(engine, packet_id, entry, group_key, classification, confidence, rationale, problem-free).
+    """(engine, packet_id, entry, pos, group_key, classification, confidence, rationale).
 
     Raises BadInput on a blank label, a missing id, an unknown class, a confidence outside 0..1, or
-    a group reported twice in one entry. Of entries for the same packet the last stands.
+    a group reported twice in one entry. Of entries for the same packet the last stands. ``run`` may
+    hold several documents; their entries follow one another.
     """
-    rows = run.select(F.col("engineLabel").alias("engine"), F.posexplode_outer("packets").alias("entry", "p"))
-    rows = rows.select("engine", "entry", F.col("p.packetId").alias("packet_id"), F.col("p.findings").isNull().alias("bare"), F.posexplode_outer("p.findings").alias("pos", "f"))
+    rows = run.withColumn("document", F.monotonically_increasing_id()).select("document", F.col("engineLabel").alias("engine"), F.posexplode_outer("packets").alias("k", "p"))
+    rows = rows.select("engine", F.when(F.col("k").isNotNull(), F.struct("document", "k")).alias("entry"), F.col("p.packetId").alias("packet_id"), F.col("p.findings").isNull().alias("bare"), F.posexplode_outer("p.findings").alias("pos", "f"))
     rows = rows.select("engine", "entry", "packet_id", "bare", "pos", F.col("f.groupKey").alias("group_key"), F.col("f.classification").alias("classification"), F.col("f.confidence").alias("confidence"), F.col("f.rationale").alias("rationale"))
     some = F.col("pos").isNotNull()
     wrong = (
@@ -39,12 +42,13 @@ def run_findings(run: DataFrame) -> DataFrame:
         .when(some & ~F.coalesce(F.col("classification").isin(*CLASSES), F.lit(False)), "unknown classification")
         .when(some & ~F.coalesce(F.col("confidence").between(0, 1) & ~F.isnan("confidence"), F.lit(False)), "confidence outside 0..1")
     )
+    place = lambda r: "run" if r["entry"] is None else f"packets[{r['entry']['k']}]"
     bad = rows.withColumn("wrong", wrong).where("wrong is not null").orderBy("entry", "pos").limit(1).collect()
     if bad:
-        raise BadInput(f"packets[{bad[0]['entry']}].findings[{bad[0]['pos']}]: {bad[0]['wrong']}")
+        raise BadInput(f"{place(bad[0])}{'' if bad[0]['pos'] is None else '.findings[%d]' % bad[0]['pos']}: {bad[0]['wrong']}")
     twice = rows.where(some).groupBy("entry", "group_key").agg(F.count("*").alias("n")).where("n > 1").orderBy("entry").limit(1).collect()
     if twice:
-        raise BadInput(f"packets[{twice[0]['entry']}]: {twice[0]['group_key']} is reported twice")
+        raise BadInput(f"{place(twice[0])}: {twice[0]['group_key']} is reported twice")
     last = rows.groupBy("packet_id").agg(F.max("entry").alias("entry"))
     return rows.where(some).join(last, ["packet_id", "entry"]).drop("bare")
 
@@ -57,8 +61,8 @@ def borrow_evidence(run: DataFrame, packets: DataFrame, groups: DataFrame) -> Da
     held = groups.select("packet_id", "group_key", "label", "entity_key", "field", F.col("facts").alias("evidence"))
     out = run.join(held, ["packet_id", "group_key"], "left")
     return out.select(
-        "packet_id", F.lit("external").alias("engine"), F.col("pos").alias("finding_seq"), "group_key", F.coalesce("label", "group_key").alias("label"), "entity_key", "field", "classification",
-        "confidence", F.coalesce("rationale", F.lit("")).alias("rationale"), F.array(F.lit("external.reported-finding")).alias("signals"), F.coalesce("evidence", F.array().cast(held.schema["evidence"].dataType)).alias("evidence"),
+        "packet_id", F.lit("external").alias("engine"), F.col("pos").alias("finding_seq"), "group_key", F.coalesce("label", "group_key").alias("label"), F.coalesce("entity_key", F.lit("policy")).alias("entity_key"), "field", "classification",
+        "confidence", F.coalesce("rationale", F.concat(F.lit("Said to be "), "classification", F.lit(" by "), run["engine"], F.lit(", without a reason"))).alias("rationale"), F.array(F.lit("external.reported-finding")).alias("signals"), F.coalesce("evidence", F.array().cast(held.schema["evidence"].dataType)).alias("evidence"),
     )
 
 
@@ -69,14 +73,14 @@ def pack_run(findings: DataFrame, label: str) -> DataFrame:
     return per.select(F.to_json(F.struct(F.lit(label).alias("engineLabel"), F.array(F.struct(F.col("packet_id").alias("packetId"), "findings")).alias("packets"))).alias("run"))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:
     """The review log under ``path``; a missing one is empty, a broken one raises and stays as it is."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], REVIEWS)
     return spark.read.schema(REVIEWS).option("mode", "FAILFAST").json(path)
 
@@ -91,5 +95,20 @@ def write_reviews(log: DataFrame, path: str, version: str) -> str:
     return out
 
 
+def clear_reviews(spark: SparkSession, path: str, version: str) -> str:
+    """Write an empty log as a new version; the versions before stay as they are."""
+    return write_reviews(spark.createDataFrame([], REVIEWS), path, version)
+
+
+def reviews_path(path: str | None = None, default: str = "data/reviews") -> str:
+    """Where the review log is: the argument, else the environment's REVIEW_LOG, else ``default``."""
+    return path or os.environ.get("REVIEW_LOG") or default
+
+
+def write_run(findings: DataFrame, label: str, path: str) -> None:
+    """The run of ``pack_run`` as JSON text that ``read_run`` reads back, one document a packet."""
+    pack_run(findings, label).write.mode("errorifexists").text(path)
+
+
 def decisions_for(log: DataFrame, packet_id: str) -> DataFrame:
     return log.where(F.col("packet_id") == packet_id)

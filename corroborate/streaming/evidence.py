@@ -15,6 +15,7 @@ from corroborate.operators import classify as C
 from corroborate.operators import extract as X
 from corroborate.operators import link as L
 from corroborate.operators import review as R
+from corroborate.sources.runs import exists, read_reviews
 
 
 def refresh(spark: SparkSession, facts_path: str, emit: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
@@ -35,11 +36,17 @@ def refresh(spark: SparkSession, facts_path: str, emit: Callable[[DataFrame, int
 
 
 def review_upserts(spark: SparkSession, path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function over decisions: version n of the log is version n - 1 with the batch upserted."""
-    from corroborate.sources.runs import read_reviews
+    """A foreachBatch function over decisions: version n of the log is version n - 1 with the batch upserted.
+
+    A batch that is run again writes its version anew. A missing version before it raises, so that no
+    part of the log is lost; only batch 0 starts from nothing.
+    """
 
     def batch(decisions: DataFrame, number: int) -> None:
-        log = read_reviews(spark, f"{path}/v{number - 1}")
+        before = f"{path}/v{number - 1}"
+        if number and not exists(spark, before):
+            raise FileNotFoundError(f"{before} is missing: batch {number} cannot be added to the review log")
+        log = read_reviews(spark, before)
         R.upsert(log, decisions).orderBy("decided_at").write.mode("overwrite").json(f"{path}/v{number}")
 
     return batch

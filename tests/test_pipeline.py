@@ -5,12 +5,15 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from corroborate.operators import browse
 from corroborate.operators import classify as C
 from corroborate.operators import grade as G
 from corroborate.operators import link as L
 from corroborate.operators import noise
+from corroborate.operators import review as R
 from corroborate.plans import pipeline as P
 from corroborate.sources import packets as K
+from corroborate.sources import runs
 
 
 @pytest.fixture(scope="module")
@@ -86,12 +89,79 @@ def test_noise():
     text = "VIN 1M8 0O5S, mm"
     assert noise.perturb_text(text, 5, 0.0) == text
     assert noise.perturb_text(text, 5, 0.5) == noise.perturb_text(text, 5, 0.5)
+    # Draws of seed 1: 0.627, 0.003, 0.527. A glyph that is hit takes a second draw for its reading.
+    assert noise.perturb_text("e1x", 1, 0.5) == "elx" and noise.perturb_text("x1e", 1, 0.5) == "x1c" and noise.perturb_text("1,1", 1, 0.5) == "1,l"
+    assert noise.perturb_text("Gm", 1, 0.7) == "6rn" and noise.perturb_text(text, 3, -1) == text
     full = noise.perturb_text(text, 5, 1.0)
     assert full != text and all(a not in full for a in ["mm"])
     draw = noise.mulberry32(1)
     assert [round(draw(), 6) for _ in range(3)] == [0.627074, 0.002736, 0.527447]
 
 
+def test_known_failure(spark, corpus):
+    packets, docs, labels = K.known_failures(spark)
+    assert packets.join(corpus[0], "packet_id").count() == 0
+    analysis = P.analyze(docs)
+    want = labels.first()
+    got = analysis.findings.where(F.col("group_key") == want.group_key).first()
+    # A reader sees a change and a stale figure. If this comes out right, the packet is to be removed.
+    assert want.expected == "supersession" and got.classification == "conflict"
+    assert '"10 power units" (Delivery of a truck)' in got.rationale
+
+
+def test_revised_unit_keeps_its_own_number(spark):
+    a, b = "1M8GDM9A1KP042788", "5YJSA1E26HF000337"
+    text = f"Please REVISE what we hold. VIN {a} is fine. Unit 4 (VIN {b}) from $70,000 to $82,500 please."
+    late = f"VIN {a}, REVISE Unit 7, from $10 to $20"
+    docs = spark.createDataFrame([("P", 0, "D", "email", "T", datetime(2025, 1, 1), text), ("P", 1, "E", "email", "T", datetime(2025, 1, 2), late)], K.DOCUMENTS)
+    got = {(r.document_id, r.field, r.raw, r.span.start) for r in P.analyze(docs).facts.where("entity_key like 'vehicle:%'").collect()}
+    assert got == {("D", "vin", b, text.index(b)), ("D", "stated_value", "$82,500", text.index("$82,500")), ("E", "stated_value", "$20", late.index("$20"))}
+
+
+def test_sources_and_order(spark, corpus, analysis):
+    packets, docs, _ = corpus
+    first = packets.orderBy("packet_pos").first().packet_id
+    assert K.packet(packets, first).count() == 1 and K.packet(packets, "none").count() == 0
+    assert K.taxonomy_case(K.taxonomy(spark), 3).first().bucket == "true_conflict"
+    with pytest.raises(KeyError):
+        K.taxonomy_case(K.taxonomy(spark), 99)
+    keys = [r.entity_key for r in L.ordered(analysis.groups).where(F.col("packet_id") == first).select("entity_key").collect()]
+    units = [int(k.rsplit("-", 1)[1]) for k in keys if k.startswith("vehicle:")]
+    assert keys[0] == "policy" and units == sorted(units) and "policy" not in keys[keys.index("vehicle:unit-1") :]
+    assert L.supporting(analysis.facts, "loss_incurred").count() == analysis.facts.where("field = 'loss_incurred'").count() > 0
+    shown = browse.focus_first(analysis.findings, packets).groupBy("packet_id").agg(F.first("group_key").alias("g")).join(packets, "packet_id")
+    assert shown.where("g <> focus_group").count() == 0
+
+
+def test_external_run_against_the_engine(spark, corpus, analysis):
+    packets, _, labels = corpus
+    run = [(p.packet_id, [(p.focus_group, "conflict", 0.9, "r")]) for p in packets.where("taxonomy_case in (1, 4, 7)").collect()]
+    schema = "packets array<struct<packetId:string,findings:array<struct<groupKey:string,classification:string,confidence:double,rationale:string>>>>"
+    said = runs.run_findings(spark.createDataFrame([(run,)], schema).withColumn("engineLabel", F.lit("other")))
+    got = P.grade_external(said, packets, labels, K.taxonomy(spark), analysis)
+    h = got.external.headline.first()
+    assert (h.hard_negative_packet_fpr.n, h.conflict_recall.n) == (1, 2) and got.main.headline.first().conflict_recall.value == 1.0
+    # A rule's finding has no group of evidence, so what is claimed of it goes by its key.
+    apart = {r.kind: {x.item for x in got.delta.collect() if x.kind == r.kind} for r in got.delta.collect()}
+    assert apart["caught_only_b"] == {"GP-011 · policy::vin_uniqueness"} and apart["false_only_b"] == {"GP-071 · policy::location_roster"}
+    assert len(apart["caught_only_a"]) == 4 and not any("GP-041" in x for x in apart["caught_only_a"])
+    with pytest.raises(runs.BadInput):
+        runs.borrow_evidence(said.withColumn("packet_id", F.lit("nowhere")), packets, analysis.groups)
+
+
+def test_bench_of_both_engines(corpus, analysis):
+    packets, docs, labels = corpus
+    spark = packets.sparkSession
+    b = P.bench(packets, docs, labels, K.taxonomy(spark), spark.createDataFrame([], R.SCHEMA))
+    assert b.main.headline.first().conflict_recall.value == 1.0 and b.human.first().agreement is None
+    assert {"caught_only_a", "false_only_b"} <= {r.kind for r in b.delta.collect()}
+
+
+def test_changed_groups(spark):
+    stab = spark.createDataFrame([("A", 1, ["g::conflict"], []), ("A", 2, ["g::conflict"], ["h::conflict"])], "packet_id string, seed int, lost array<string>, gained array<string>")
+    assert [tuple(r) for r in noise.changed_groups(stab).collect()] == [("g::conflict", 2), ("h::conflict", 1)]
+
+
 def test_stability(spark):
     clean = spark.createDataFrame([("A", 1, "g", "conflict"), ("B", 1, "g", "conflict")], "packet_id string, seed int, group_key string, classification string")
     noisy = spark.createDataFrame([("A", 1, "g", "conflict"), ("B", 1, "h", "conflict")], clean.schema)

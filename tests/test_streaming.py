@@ -1,10 +1,14 @@
 """Streams, other engines and model adjudication over generated packets."""
 
+from datetime import datetime
+
+import pytest
 from pyspark.sql import functions as F
 
 from corroborate.operators import adjudicate as A
 from corroborate.operators import extract as X
 from corroborate.operators import link as L
+from corroborate.operators import review as R
 from corroborate.sources import packets as K
 from corroborate.sources import runs
 from corroborate.streaming import evidence as E
@@ -35,3 +39,14 @@ def test_model_engine_and_borrowed_evidence(spark):
     assert got["policy::effective_date"] > 1 and got["policy::unknown"] == 0
     text = runs.pack_run(runs.borrow_evidence(run, packets, groups), "x").first().run
     assert '"engineLabel":"x"' in text and "policy::unknown" in text
+
+
+def test_review_log_by_batches(spark, tmp_path):
+    row = lambda g, v, minute: (None, "A", g, "reference", "c", v, "because of x", "x", datetime(2025, 1, 1, 0, minute))
+    batch, path = E.review_upserts(spark, str(tmp_path)), str(tmp_path)
+    batch(spark.createDataFrame([row("a", "accept", 0), row("b", "accept", 1)], R.SCHEMA), 0)
+    for _ in range(2):  # a batch that is run again writes its version anew
+        batch(spark.createDataFrame([row("a", "reject", 2)], R.SCHEMA), 1)
+    assert {r.group_key: r.verdict for r in runs.read_reviews(spark, f"{path}/v1").collect()} == {"a": "reject", "b": "accept"}
+    with pytest.raises(FileNotFoundError, match="v2"):
+        batch(spark.createDataFrame([row("a", "accept", 3)], R.SCHEMA), 3)
