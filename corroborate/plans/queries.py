@@ -12,6 +12,7 @@ from corroborate.operators import grade as G
 from corroborate.operators import noise
 from corroborate.operators import review as R
 from corroborate.operators.rules import near_pairs
+from corroborate.operators.similar import similar_pairs
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,14 +64,7 @@ def glyph_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of distinct part names that are similar to 0.85 or more (edit distance)."""
-    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("a")).distinct()
-    other = names.withColumnRenamed("a", "b")
-    short, long_ = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
-    # Blocked by a shared three-letter start or end; the oracle compares all pairs.
-    heads = [F.concat(F.lit("^"), F.substring("x", 1, 3)), F.concat(F.lit("$"), F.substring("x", -3, 3))]
-    keyed = lambda df, c: df.withColumn("x", F.col(c)).withColumn("k", F.explode(F.array(*heads))).drop("x")
-    pairs = keyed(names, "a").join(keyed(other, "b"), "k").where((F.col("a") < F.col("b")) & (short * 100 >= long_ * 85)).select("a", "b").distinct()
-    return pairs.withColumn("distance", F.levenshtein("a", "b").cast("long")).where(F.col("distance") * 100 <= F.greatest(F.length("a"), F.length("b")) * 15)
+    return similar_pairs(table(spark, sf_dir, "part"), "p_name", 15)
 
 
 def distinguishing_token(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,9 +78,10 @@ def distinguishing_token(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def surface_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First lines of documents that are one text in several surface forms."""
-    docs = table(spark, sf_dir, "documents").select(F.split_part("text", F.lit("\n"), F.lit(1)).alias("line"))
-    rows = docs.select(N.text_value(F.col("line"))["canonical"].alias("canonical"), "line").groupBy("canonical").agg(F.count_distinct("line").alias("forms"), F.count("*").alias("n"))
+    """Lines of documents that are one text in several surface forms; blank lines count for nothing."""
+    lines = table(spark, sf_dir, "documents").select(F.explode(S.lines(F.col("text"))).alias("l")).select(F.col("l.text").alias("line"))
+    rows = lines.select(N.text_value(F.col("line"))["canonical"].alias("canonical"), "line").where("trim(canonical) <> ''")
+    rows = rows.groupBy("canonical", "line").agg(F.count("*").alias("n")).groupBy("canonical").agg(F.count("*").alias("forms"), F.sum("n").alias("n"))
     return rows.where("n > 1").select("canonical", "forms", "n", F.when(F.col("forms") == 1, "consistent").otherwise("benign_variant").alias("classification"))
 
 
@@ -141,18 +136,22 @@ def location_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _graded(spark: SparkSession, sf_dir: str, rule: int = 0) -> DataFrame:
-    """Labels against a rule over documents, in the shape of graded rows."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
-    labels = table(spark, sf_dir, "labels")
-    want = F.when(F.col("toxic") == 1, "conflict").when(F.col("quality") == 0, "supersession").when(F.col("doc_id") % 7 == 3, "benign_variant")
-    declared = labels.withColumn("expected", want).where("expected is not null").select("doc_id", "expected")
+    """Labels graded against a rule over documents: each is a group, in one of four packets."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars").join(table(spark, sf_dir, "labels").withColumn("labelled", F.lit(True)), "doc_id", "left")
+    key = F.array_join(F.array("lang", "source", F.col("doc_id").cast("string")), "|", "")
+    rows = docs.select("*", F.concat(F.lit("p"), (F.col("doc_id") % 4).cast("string")).alias("packet_id"), key.alias("group_key"))
+    want = F.when(F.col("toxic") == 1, "conflict").when(F.col("quality") == 0, "supersession").when(F.col("toxic").isNotNull() & (F.col("doc_id") % 7 == 3), "benign_variant")
+    declared = rows.select("packet_id", "group_key", want.alias("expected")).where("expected is not null")
     size, k = F.col("n_chars"), F.col("doc_id") + rule
     told = F.when(size > 6000, "conflict").when(k % 5 == 0, "supersession").when(k % 5 == 1, "benign_variant").when(size < 300, "unresolved")
-    findings = docs.withColumn("predicted", told).where("predicted is not null").select("doc_id", "predicted", (50 + size % 50).alias("pct"))
-    both = declared.join(findings, "doc_id", "full").withColumn("declared", F.col("expected").isNotNull())
-    both = both.withColumns({"expected": F.coalesce("expected", F.lit("consistent")), "predicted": F.coalesce("predicted", F.lit("consistent"))})
-    both = both.join(docs.select("doc_id", "lang", "source"), "doc_id")
-    return both.withColumns({"correct": F.col("expected") == F.col("predicted"), "outcome": G.outcome(F.col("expected"), F.col("predicted"))})
+    findings = rows.select("packet_id", F.lit(1).alias("finding_seq"), "group_key", F.col("group_key").alias("label"), told.alias("classification"), ((50 + size % 50) / 100).alias("confidence"), F.array().cast("array<string>").alias("signals"))
+    packets = rows.select("packet_id", F.lit("t").alias("title"), F.lit(0).alias("taxonomy_case"), F.lit("b").alias("bucket")).distinct()
+    got = G.grade(packets, declared, findings.where("classification is not null"))
+    part = F.split("group_key", "[|]")
+    return got.select(
+        part[2].cast("bigint").alias("doc_id"), F.nullif(part[0], F.lit("")).alias("lang"), F.nullif(part[1], F.lit("")).alias("source"), "declared", "expected", "predicted",
+        F.round(F.col("confidence") * 100).cast("bigint").alias("pct"), "correct", "outcome",
+    )
 
 
 _GRADED_SQL = """
@@ -303,7 +302,7 @@ def normalizers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate addresses within a nation, made from customer numbers."""
-    c = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0 or c_custkey % 10 = 1")
+    c = table(spark, sf_dir, "customer")
     c = c.select(F.col("c_nationkey").cast("string").alias("packet_id"), F.concat((F.col("c_custkey") % 100).cast("string"), F.lit(" MAIN QUARRY "), F.when(F.col("c_custkey") % 2 == 0, "ST").otherwise("AVE")).alias("address")).distinct()
     return near_pairs(c).select("packet_id", "a", "b", "told")
 
@@ -348,8 +347,8 @@ ORACLES = {
  p as (select l.a, r.a as b, l.x, r.x as y from n l join n r on l.a < r.a and len(l.x) = len(r.x)),
  d as (select a, b, x, y, list_filter(range(1, len(x) + 1), lambda i: x[i] <> y[i]) as ps from p)
  select a, b, ps[1] - 1 as pos, x[ps[1]] as token_a, y[ps[1]] as token_b from d where len(ps) = 1""",
-    "surface_variants": """with l as (select split_part(text, chr(10), 1) as line from documents),
- r as (select lower(regexp_replace(trim(line, ' '), '\\s+', ' ', 'g')) as canonical, count(distinct line) as forms, count(*) as n from l group by 1)
+    "surface_variants": """with l as (select unnest(string_split(text, chr(10))) as line from documents),
+ r as (select lower(regexp_replace(trim(line, ' '), '\\s+', ' ', 'g')) as canonical, count(distinct line) as forms, count(*) as n from l group by 1 having trim(canonical, ' ') <> '')
  select canonical, forms, n, case when forms = 1 then 'consistent' else 'benign_variant' end as classification from r where n > 1""",
     "effective_value": """select conv_id, turn, role, length(text) as n_chars from (select *, row_number() over (partition by conv_id order by turn desc, role desc, text desc) as k from conversations) where k = 1""",
     "naive_conflicts": """select l_partkey, forms, case when forms > 1 then 'conflict' else 'consistent' end as classification, cast(case when forms > 1 then 80 else 90 end as bigint) as confidence_pct
@@ -411,7 +410,7 @@ ORACLES = {
     "prev_next": """select o_orderkey, coalesce(lag(o_orderkey) over w, -1) as previous, coalesce(lead(o_orderkey) over w, -1) as next from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)""",
     "external_json": """select event_id, cast(json_extract(props, '$.k') as bigint) as k, coalesce(n_name, '') as evidence from events left join nation on n_nationkey = cast(json_extract(props, '$.k') as bigint)""",
     "normalizers": """select o_orderkey, cast(floor(cast(o_totalprice as decimal(18,2)) + 0.5) as bigint) as money, '12' as count from orders""",
-    "roster": """with c as (select distinct cast(c_nationkey as varchar) as packet_id, (c_custkey % 100) || ' MAIN QUARRY ' || case when c_custkey % 2 = 0 then 'ST' else 'AVE' end as address from customer where c_custkey % 10 in (0, 1)),
+    "roster": """with c as (select distinct cast(c_nationkey as varchar) as packet_id, (c_custkey % 100) || ' MAIN QUARRY ' || case when c_custkey % 2 = 0 then 'ST' else 'AVE' end as address from customer),
  p as (select x.packet_id, x.address as a, y.address as b, string_split(x.address, ' ') as s, string_split(y.address, ' ') as t from c x join c y on x.packet_id = y.packet_id and x.address < y.address),
  f as (select * from p where 1 - levenshtein(a, b) / greatest(length(a), length(b)) >= 0.85)
  select packet_id, a, b, case when s[1] <> t[1] then 'different street number (' || s[1] || ' vs ' || t[1] || ')' else 'different street suffix (' || s[4] || ' vs ' || t[4] || ')' end as told from f where (s[1] = t[1]) <> (s[4] = t[4])""",

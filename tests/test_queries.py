@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from corroborate.functions import normalize as N
 from corroborate.operators.rules import NEAR_ADDRESS, near_pairs
-from corroborate.plans.queries import ORACLES, QUERIES
+from corroborate.plans import queries, rule_queries
 
 DATA = Path("/root/testdata/sf0.001")
 ROOT = Path(__file__).resolve().parent.parent
+QUERIES, ORACLES = queries.QUERIES | rule_queries.QUERIES, queries.ORACLES | rule_queries.ORACLES
 
 
 def plain(x):
