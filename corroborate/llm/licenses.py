@@ -25,7 +25,7 @@ BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public l
 #: label, notice, mandatory key phrase within it
 TEMPLATES = [
     ("mit", "released under the mit license", "mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "hereby granted free of charge to any person obtaining a copy of this software"),
     ("apache", "licensed under the apache license version 2 0", "apache license version 2 0"),
     ("gpl", "licensed under the gnu general public license version 3", "gnu general public license"),
     ("lgpl", "under the terms of the gnu lesser general public license", "gnu lesser general public license"),
@@ -43,6 +43,20 @@ TEMPLATES = [
     ("cc-by", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
     ("cc0", "released into the public domain under cc0 1 0", "cc0 1 0"),
     ("reserved", "all rights reserved", "all rights reserved"),
+    # Sentences from the bodies of the licences and from their file headers.
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability", "the software is provided as is without warranty of any kind"),
+    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at", "use this file except in compliance with the license"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gnu general public license as published by the free software foundation"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "this library is free software you can redistribute it"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "used to endorse or promote products derived from this software"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", "source code form is subject to the terms of the mozilla public license"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software", "any person or organization obtaining a copy of the software"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages", "in no event will the authors be held liable for any damages"),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", "without fee and without a written agreement is hereby granted"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("cc0", "the author has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
+    ("artistic", "under the terms of the artistic license 2 0", "artistic license 2 0"),
+    ("psf", "python software foundation license version 2", "python software foundation license"),
 ]
 
 
@@ -84,7 +98,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=
     ``n_places`` counts the template places that were verified. score is the largest share of a
     verified template's words found in place, at least 0.5 with a base label, 0 without any label.
     Null and empty texts have no words, labels '' and score 0. Rows are scanned one by one, so
-    repeated rows repeat; ties between words of equal IDF go by the word. Other columns are unread.
+    repeated rows repeat; ties between words of equal IDF go by the word. Texts of any length are
+    scanned whole. An empty table gives no rows. Other columns are unread.
     ``rarest`` words, and ``least_votes`` at least, are looked up of each template's key phrase; all
     of them must agree on a place.
     """
