@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corroborate.llm import brown_lm, decontaminate, html_extract, licenses, line_dedup, minhash, packing, quality, sharding, toxicity
 from corroborate.llm.common import table
+from corroborate.llm.oracles import ORACLES  # noqa: F401
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,5 +66,3 @@ QUERIES = {
     "op9_brown_lm": op9_brown_lm,
     "op10_packing": op10_packing,
 }
-
-ORACLES: dict[str, str] = {}
