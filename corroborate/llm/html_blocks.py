@@ -8,9 +8,12 @@ import re
 from dataclasses import dataclass
 
 ATTRS = r"""(?:"[^"]*"|'[^']*'|[^'">])*"""
-#: Comments, declarations, elements whose text is no prose (whole), tags.
+#: Comments, declarations, elements whose text is no prose (whole), tags. Scripts and the like run to
+#: the end of the page if nothing closes them; of the others then only the opening tag is left out.
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(script|style|noscript|template|textarea|title|svg|select|iframe|object)(?=[\s/>]){ATTRS}>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][^\s/>]*)({ATTRS})>",
+    rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(script|style|textarea|title|iframe)(?=[\s/>]){ATTRS}>.*?(?:</\1\s*>|\Z)"
+    rf"|<svg(?=[\s/>]){ATTRS}(?<=/)>|<(noscript|template|svg|select|object)(?=[\s/>]){ATTRS}>(?:.*?</\2\s*>)?"
+    rf"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>{ATTRS})>",
     re.I | re.S,
 )
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -64,18 +67,18 @@ def blocks(page: str) -> list[Block]:
     for m in TOKEN.finditer(page):
         say(page[at : m.start()])
         at = m.end()
-        if m[3] is None:
+        if m["tag"] is None:
             continue
-        tag = m[3].lower()
+        tag = m["tag"].lower()
         if tag in INLINE:
             if tag == "a":
-                inside = 0 if m[2] else 1
+                inside = 0 if m["end"] else 1
             elif tag == "br":
                 parts.append(" ")
             continue
         flush()
         inside = 0
-        if m[2]:
+        if m["end"]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     del stack[k:]
@@ -84,7 +87,7 @@ def blocks(page: str) -> list[Block]:
             ends = CLOSES.get(tag, ("p",))
             while stack and stack[-1][0] in ends:
                 stack.pop()
-            stack.append((tag, _names(tag, m[4])))
+            stack.append((tag, _names(tag, m["attrs"])))
     say(page[at:])
     flush()
     return out
