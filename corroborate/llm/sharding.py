@@ -33,14 +33,16 @@ def _row_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long")
 
 
-def assign(docs: DataFrame, shards: int = 40, fine: float = 1 / 500, doc_id: str = "doc_id", text: str = "text", chunks: int = 64) -> DataFrame:
+def assign(docs: DataFrame, shards: int = 40, fine: float = 1 / 500, doc_id: str = "doc_id", text: str = "text", chunks: int = 256) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every row; rows with equal texts share a shard.
 
     size: UTF-8 bytes of the text plus 16; a null text has none and groups with the empty text
     (checksum 0). Slots are gapless from 0 in each shard, ordered by a hash chunk of the row, then
-    doc_id (nulls first); fully equal rows are interchangeable. An empty table gives no rows. Only
-    doc_id and text are read, so other columns cannot clash. A group larger than an even share fills
-    its shard alone, since groups are never split.
+    doc_id (nulls first); fully equal rows are interchangeable. The same rows get the same slots under
+    any settings of the session. An empty table gives no rows. Only doc_id and text are read, so other
+    columns cannot clash; a text of any length counts by its size and checksums. A group larger than
+    an even share fills its shard alone, since groups are never split. ``chunks`` is how many parts a
+    shard's rows are numbered in: raise it with the rows.
     """
     spark = docs.sparkSession
     t = F.coalesce(F.col(text), F.lit(""))
@@ -69,8 +71,6 @@ def assign(docs: DataFrame, shards: int = 40, fine: float = 1 / 500, doc_id: str
 def _slots(where: DataFrame, chunks: int) -> DataFrame:
     """Gapless slots without one task per shard: rows are numbered inside hash chunks, chunks by prefix sums."""
     spark = where.sparkSession
-    n = where.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    chunks = max(chunks, int(n) * 4 // 10)
     cut = where.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(chunks)).cast("int"))
     counts = cut.groupBy("shard", "chunk").agg(F.count("*").alias("n")).collect()  # shards * chunks rows at most
     starts, at = [], {}
