@@ -90,7 +90,9 @@ def judge(
 
     Lines that too many documents of the host hold are removed; a document with fewer than
     ``least_words`` words left, or less than ``least_left`` of its words, is rejected. A null host
-    is a host of its own. Repeated rows are judged row by row; empty texts fail the base rule.
+    is a host of its own. Repeated rows are judged row by row; empty texts fail the base rule. Texts of
+    any length are read whole (a text's windows and lines are held in its row); equal texts of a host
+    count once towards a line's frequency. An empty table gives no rows.
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("\x00")).alias("host"), F.col(text).alias("text"))
     seen = figures(own, "text", ("doc_id", "host")).withColumn("row", F.monotonically_increasing_id())

@@ -30,6 +30,8 @@ class Settings:
     epochs: int = 4
     #: Labelled rows that are learned from, about: where there are more, those with the lowest id hashes.
     sample: int = 16_000
+    #: Distinct features of all rows learned from, at most (they are held in one task, four bytes each).
+    features: int = 64_000_000
 
 
 @dataclass(frozen=True)
@@ -73,9 +75,11 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None,
     """Learn from the labelled rows of ``docs`` that are not held out (crc32(id) mod ``mod`` is 2).
 
     Null labels are left out; an id labelled twice counts as toxic if either label says so. Without
-    any labelled row the model has no weights and scores everything 0. Ids and languages are only
-    used to choose rows. The sample is learned in one task in a fixed order, so a repeated task gives
-    the same model; its size is bounded by Settings.sample, whatever the input.
+    any labelled row the model has no weights and scores everything next to 0 (1e-13). Ids and languages
+    are only used to choose rows. The sample is learned in one task in a fixed order of hashes, so a
+    repeated task gives the same model. Its size is bounded, whatever the input: by Settings.sample (an
+    id that stands for several rows may take it to twice that) and, where texts are very long, by
+    Settings.features; rows beyond either bound, last in the order, are not learned from.
     """
     s = settings or Settings()
     marked = labels.where(F.col(label).isNotNull() & ~held_out(F.col(doc_id), mod)).groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("_y"))
@@ -85,12 +89,16 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None,
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("binary").alias("_text")).join(chosen, "_id").select(F.xxhash64("_id", "_text").alias("_order"), "_text", "_y")
 
     def learn(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, examples = WordHashes(), []
+        hashes, examples, room = WordHashes(), [], s.features
         for part in parts:
             for batch in batches([part]):
                 for raw, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    if raw and len(examples) < 2 * s.sample and (words := byte_words(raw)):  # repeated ids may exceed the sample
-                        examples.append((np.unique(feature_ids(words, hashes, s.bits)), y))
+                    words = byte_words(raw) if len(examples) < 2 * s.sample and room > 0 else []
+                    if words:
+                        x = np.unique(feature_ids(words, hashes, s.bits))
+                        room -= len(x)
+                        if room >= 0:
+                            examples.append((x, y))
         if examples:
             m = fit_rows(examples, s)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(m.index, -1), pa.int32()), pa.array(np.append(m.weight, m.bias))], names=["i", "w"])
@@ -104,18 +112,18 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None,
 
 def scorer(docs: DataFrame, model: Model):
     """A function from a text column to its score, 0 to 1; a null or empty text scores the bias alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.bits, model.index, model.weight, model.bias))
 
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m = shared.value
-        dense = np.zeros(1 << m.bits)
-        dense[m.index] = m.weight
+        bits, index, weight, bias = shared.value
+        dense = np.zeros(1 << bits)
+        dense[index] = weight
         hashes = WordHashes()
         for texts in parts:
-            total = np.full(len(texts), m.bias)
+            total = np.full(len(texts), bias)
             for k, text in enumerate(texts):
                 if text and (words := byte_words(text.encode())):
-                    ids = feature_ids(words, hashes, m.bits)
+                    ids = feature_ids(words, hashes, bits)
                     total[k] += dense[np.unique(ids[dense[ids] != 0])].sum()
             yield pd.Series(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
@@ -129,6 +137,10 @@ def scorer(docs: DataFrame, model: Model):
 
 
 def classify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.3, mod: int = 4) -> DataFrame:
-    """One row per input row: doc_id, held_out, score and predicted. Other columns are not read."""
+    """One row per input row: doc_id, held_out, score and predicted.
+
+    A null, empty or blank text scores the bias alone; repeated rows, and equal texts, score equally.
+    Texts of any length are scored whole. An empty table gives no rows. Other columns are not read.
+    """
     scored = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id), mod).alias("held_out"), scorer(docs, model)(F.col(text)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
