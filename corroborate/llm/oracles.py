@@ -34,7 +34,7 @@ LINES = rf"""with t as materialized (select doc_id, text, string_split(text, chr
  src as (select doc_id, list_sort(list(distinct holder)) as source_ids from x group by 1),
  left_ as (select e.doc_id, string_agg(ls[e.k], chr(10) order by e.k) as text from e left join gone g on g.doc_id = e.doc_id and g.k = e.k where g.k is null group by 1),
  n as (select doc_id, count(*) as n_removed from gone group by 1)
- select t.doc_id, case when n_removed is null then t.text else coalesce(left_.text, '') end as text, coalesce(n_removed, 0) as n_removed, coalesce(source_ids, []) as source_ids
+ select t.doc_id, case when n_removed is null then t.text else coalesce(left_.text, '') end as text, coalesce(n_removed, 0) as n_removed, coalesce(array_to_string(source_ids, ','), '') as source_ids
  from t left join n using (doc_id) left join src using (doc_id) left join left_ using (doc_id)"""
 
 # Of all windows the best starts with a shingle of the item; similarity by counts of shingles.
@@ -48,7 +48,7 @@ LEAKS = rf"""with d as materialized (select doc_id, list_filter(regexp_split_to_
  sc as (select doc_id, item_id, pos, sum(least(wc.c, ig.c)) as same, any_value(wc.m) + any_value(mw) as two from wc join ig using (item_id, g) group by 1, 2, 3),
  best as (select doc_id, item_id, max(same / (two - same)) as similarity from sc where same / (two - same) >= 0.8 group by 1, 2),
  f as (select doc_id, list_sort(list(item_id)) as item_ids, max(similarity) as similarity from best group by 1)
- select d.doc_id, f.doc_id is not null as contaminated, coalesce(item_ids, []) as item_ids, coalesce(similarity, 0.0) as similarity from d left join f using (doc_id)"""
+ select d.doc_id, f.doc_id is not null as contaminated, coalesce(array_to_string(item_ids, ','), '') as item_ids, coalesce(similarity, 0.0) as similarity from d left join f using (doc_id)"""
 
 
 def _phrase(words: list[str], at: str = "i") -> str:

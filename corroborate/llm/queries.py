@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corroborate.llm import brown_lm, decontaminate, html_extract, licenses, line_dedup, minhash, packing, quality, sharding, toxicity
@@ -24,13 +24,19 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def _listed(ids: str) -> Column:
+    """A list of ids as text, '' for none: texts compare alike everywhere, arrays do not."""
+    return F.coalesce(F.array_join(F.col(ids).cast("array<string>"), ","), F.lit("")).alias(ids)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "text", "n_removed", F.coalesce("source_ids", F.array().cast("array<bigint>")).alias("source_ids"))
+    return out.select("doc_id", "text", "n_removed", _listed("source_ids"))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    out = decontaminate.mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "contaminated", _listed("item_ids"), "similarity")
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
