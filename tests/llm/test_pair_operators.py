@@ -81,6 +81,24 @@ def test_keep_one_judges_rows_of_an_id_by_their_texts(spark):
     assert sorted(map(tuple, kept), key=str) == sorted([rows[0], rows[1], rows[4], rows[6], rows[7]], key=str)
 
 
+def test_large_bucket_with_one_foreign_member(spark):
+    import numpy as np
+
+    r, s, n = np.random.default_rng(2), minhash.Settings(3, 85, 48, 7), 5000
+    look = minhash.probes(s.bins)
+    sets = [np.sort(r.integers(0, 2**63, 40).astype(np.uint64)) for _ in range(n)]
+    for k, like in ((n - 1, 17), (n - 2, 18)):  # two members of another component, one of them near a member of the large one
+        sets[k] = np.sort(np.r_[sets[like][: 38 if like == 17 else 20], sets[k][:2]])
+    sig = lambda x: minhash.one_permutation(x, s.bins, look).astype(np.uint8).tobytes()
+    crowded = spark.createDataFrame([(7, k, n if k >= n - 2 else 0) for k in range(n)] + [(8, 3, 0), (8, n - 1, n)], "bucket long, node long, root long")
+    held = spark.createDataFrame([(k, len(x), bytearray(sig(x)), bytearray(x.tobytes())) for k, x in enumerate(sets)], "node long, n_shingles long, sig binary, members binary")
+    assert sorted(tuple(sorted(x)) for x in minhash._blocks(crowded, held, s).collect()) == [(17, n - 1)]
+    cut, met = minhash._chunks(crowded, s)
+    both = met.select("bucket", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("chunk")).join(cut, ["bucket", "chunk"])
+    # The large component's chunks never meet: each is copied once, the others' chunk as often as there are chunks.
+    assert both.count() <= n + 2 * (2 + n // s.block) + 10
+
+
 def test_groups_of_nothing(spark):
     assert minhash.groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -172,6 +190,10 @@ def test_blocks():
     got = [(b.text, b.path[-1]) for b in blocks(PAGE)]
     assert got[:3] == [("Home", "li"), ("News", "li"), ("We use cookies", ".notice")]
     assert got[3][0] == "Fish & chips" and got[5][0] == "Second one goes on for a while, too." and got[-1] == ("© me", "footer")
+    kept = lambda t: [b.text for b in blocks(t)]
+    assert kept("<p>a</p><svg viewBox='0 0'/><p>b</p><svg><text>x</text></svg><p>c") == ["a", "b", "c"]
+    assert kept("<p>a</p><object data=x><p>b</p><select><option>no</select><noscript>no</noscript>c<template>d") == ["a", "b", "cd"]
+    assert kept("<p>a</p><script>var b = 1") == ["a"] and kept("<p>a</p><!-- b") == ["a"] and kept("<p>a<textarea>b</textarea>c") == ["ac"]
     assert blocks("") == [] and [b.text for b in blocks("a <b>c</b><!-- x")] == ["a c"]
 
 
@@ -203,6 +225,35 @@ def test_labeller_on_unseen_pages(spark):
     assert right / n > 0.99
 
 
+ODD = ["_toxicity", "_n_removed", "_source_ids", "_text_key", "_own_key", "_id", "node", "root", "key", "kept"]
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    block = " ".join(f"b{k}" for k in range(70))
+    texts = [(1, block), (1, block), (2, block + "\n" + " ".join(f"own{k}" for k in range(50))), (None, block), (3, None), (4, ""), (5, " \n\t"), (6, " ".join(f"w{k % 9973}" for k in range(120_000))), (7, "item " * 3 + "of five words here"), (None, None)]
+    df = spark.createDataFrame([(d, t, *[f"{c} {k}" for c in ODD]) for k, (d, t) in enumerate(texts)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in ODD))
+    spark.createDataFrame([(1, "item item item of five words here"), (2, None), (3, "")], "item_id long, text string").write.parquet(str(tmp_path / "some" / "benchmark.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "none" / "benchmark.parquet"))
+    for folder in ("some", "none"):
+        spark.createDataFrame([(1, 0, 0), (2, 0, None), (None, 1, 0), (1, 1, 0)] if folder == "some" else [], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / folder / "labels.parquet"))
+    was = {tuple(r) for r in df.collect()}
+    left = {"toxicity": 10, "line_dedup": 10, "minhash": 8, "decontaminate": 9}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for folder in ("some", "none"):
+            got = stage(spark, df, str(tmp_path / folder))
+            rows = got.collect()
+            assert got.columns == df.columns and len(rows) == left[name] + (name == "decontaminate" and folder == "none")
+            if name == "line_dedup":
+                assert {r.doc_id: r.text for r in rows}[2] == texts[2][1].split("\n")[1] and {tuple(r)[2:] for r in rows} == {x[2:] for x in was}
+            else:
+                assert {tuple(r) for r in rows} <= was
+        assert stage(spark, df.limit(0), str(tmp_path / "none")).collect() == []
+    pieces = corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path / "none"))
+    assert pieces.where("start = 0").count() == len(texts) and corpus_pipeline.STAGES[-1][1](spark, df.limit(0), "").count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
