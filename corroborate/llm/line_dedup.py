@@ -20,10 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corroborate.llm.common import batches, byte_words, join_counted, materialize
+from corroborate.llm.common import Scratch, batches, byte_words, few, fresh, join_counted, materialize
 
-#: Keys of texts that lose lines are broadcast up to this many (20 MB); beyond, the same joins shuffle.
+#: Keys of texts that lose lines are broadcast up to this many (some 170 bytes each); beyond, the same joins shuffle.
 KEY_ROWS = 1_000_000
+#: First holders of up to this many lines are broadcast if very many documents meet them.
+HOT_LINES = 4096
 
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:
@@ -58,9 +60,9 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
         while k >= 0:
             chain.append(once[k])
             k = back[k]
-        for x, y in [(p, q), *chain]:  # from the last anchor to the first
-            low = next(((u + 1, v + 1) for u, v in chain if u < x), (i, j))
-            todo.append((low[0], x, low[1], y))
+        for x, y in [*reversed(chain), (p, q)]:
+            todo.append((i, x, j, y))
+            i, j = x + 1, y + 1
         out += chain
     return sorted(out)
 
@@ -132,16 +134,19 @@ def _lines(docs: DataFrame, least_words: int) -> DataFrame:
     return cut.mapInArrow(run, f"doc_id {kind}, key long, hashes array<long>, words array<int>, places array<int>, runs array<long>")
 
 
-def removals(docs: DataFrame, least_words: int) -> DataFrame:
-    """(doc_id, key, gone, source_ids): line numbers to remove and the earlier documents' ids."""
-    lined = materialize(_lines(docs, least_words).where("doc_id is not null").dropDuplicates(["doc_id", "key"]), "lines")
+def removals(docs: DataFrame, least_words: int, kept=materialize) -> DataFrame:
+    """(doc_id, key, gone, source_ids): line numbers to remove and the earlier documents' ids; ``kept`` writes the tables between."""
+    lined = kept(_lines(docs, least_words).where("doc_id is not null").dropDuplicates(["doc_id", "key"]), "lines")
     keyed = lined.select("doc_id", "key", F.explode("runs").alias("h"))
     held = keyed.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
-    held = materialize(held.where("first < last").select("h", "first", "n"), "shared")
-    pairs = join_counted(keyed, held, "h", "n").where("first < doc_id").select("doc_id", "key", "first").distinct()
-    # A first holder's id may be repeated: each of its texts is aligned.
-    earlier = lined.select(F.col("doc_id").alias("first"), F.col("hashes").alias("a"))
-    both = pairs.join(earlier, "first").join(lined, ["doc_id", "key"]).select("doc_id", "key", "first", "a", F.col("hashes").alias("b"), "words", "places")
+    held = kept(held.where("first < last").select("h", "first", "n"), "shared")
+    pairs = kept(join_counted(keyed, held, "h", "n").where("first < doc_id").select("doc_id", "key", "first").distinct(), "pairs")
+    # A first holder's id may be repeated: each of its texts is aligned. One that very many documents
+    # meet stays out of the shuffle, unless it is long.
+    met = pairs.groupBy("first").agg(F.count("*").alias("n"))
+    earlier = lined.select(F.col("doc_id").alias("first"), F.col("hashes").alias("a")).join(met, "first")
+    earlier = kept(earlier.withColumn("n", F.when(F.size("a") <= HOT_LINES, F.col("n")).otherwise(0)), "earlier")
+    both = join_counted(pairs, earlier, "first", "n").join(lined, ["doc_id", "key"]).select("doc_id", "key", "first", "a", F.col("hashes").alias("b"), "words", "places")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,20 +170,23 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_wor
     lowered; lines without words do not count and stay. A text that loses nothing stays as it is, a
     null text null; one that loses all its lines becomes empty. ``n_removed`` counts removed lines
     (0 for none), ``source_ids`` lists the earlier documents (null for none); a column of ``docs``
-    with one of those names is replaced, all others are kept.
+    with one of those names is replaced, all others are kept, whatever their names. Repeated rows lose
+    the same lines. Texts of any length are aligned whole; a pair's line hashes are held in one task.
+    An empty table comes back empty.
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    gone = materialize(removals(own, least_words), "gone").select(*[F.col(c).alias(f"_gone_{c}") for c in ("doc_id", "key", "gone", "source_ids")])
-    keys = gone.select("_gone_doc_id", "_gone_key")
-    if keys.count() <= KEY_ROWS:
-        keys = F.broadcast(keys)
-    keyed = docs.drop(n_removed, source_ids).withColumn("_text_key", F.xxhash64(text))
-    same = lambda other: (keyed[doc_id] == other["_gone_doc_id"]) & (keyed["_text_key"] == other["_gone_key"])
-    zero, none = F.lit(0).cast("long"), F.lit(None).cast(gone.schema["_gone_source_ids"].dataType)
+    rest = docs.drop(n_removed, source_ids)
+    id_, key_, lines_, ids_, own_key = (fresh(rest, x) for x in ("gone_id", "gone_key", "gone_lines", "gone_ids", "text_key"))
+    with Scratch() as kept:
+        gone = materialize(removals(own, least_words, kept), "gone").toDF(id_, key_, lines_, ids_)
+    keys = few(gone.select(id_, key_), KEY_ROWS)
+    keyed = rest.withColumn(own_key, F.xxhash64(text))
+    same = lambda other: (keyed[doc_id] == other[id_]) & (keyed[own_key] == other[key_])
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast(gone.schema[ids_].dataType)
     whole = keyed.join(keys, same(keys), "left_anti").withColumns({n_removed: zero, source_ids: none})
     # Only texts that lose something are shuffled; a merge join at every size, so that needs grow evenly.
     cut = keyed.join(keys, same(keys), "left_semi")
-    cut = cut.join(gone.hint("merge"), (cut[doc_id] == gone["_gone_doc_id"]) & (cut["_text_key"] == gone["_gone_key"]))
-    left = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_gone_gone", i))
-    cut = cut.withColumns({text: F.array_join(left, "\n"), n_removed: F.size("_gone_gone").cast("long"), source_ids: F.col("_gone_source_ids")})
-    return whole.drop("_text_key").unionByName(cut.drop("_text_key", *gone.columns))
+    cut = cut.join(gone.hint("merge"), (cut[doc_id] == gone[id_]) & (cut[own_key] == gone[key_]))
+    left = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(lines_, i))
+    cut = cut.withColumns({text: F.array_join(left, "\n"), n_removed: F.size(lines_).cast("long"), source_ids: F.col(ids_)})
+    return whole.drop(own_key).unionByName(cut.drop(own_key, *gone.columns))

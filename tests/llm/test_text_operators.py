@@ -97,14 +97,6 @@ def test_shards(docs, empty):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
 
 
-def test_schedule_is_longest_first():
-    placed = sharding.schedule([(k, s) for k, s in enumerate([7, 7, 6, 6, 5, 5, 4, 4, 4])], 3)
-    loads = Counter()
-    for k, s in enumerate([7, 7, 6, 6, 5, 5, 4, 4, 4]):
-        loads[placed[k]] += s
-    assert sorted(loads.values()) == [15, 16, 17] or max(loads.values()) <= 48 * 11 / 9 / 3
-
-
 def test_shards_are_near_equal(spark):
     rows = spark.range(20000).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("ab"), F.col("id").cast("int") % 97), F.col("id").cast("string")).alias("text"))
     loads = [r.b for r in sharding.assign(rows, shards=8).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
@@ -199,4 +191,48 @@ def test_fingerprint_radius(spark):
     for r in df.select("h", decontaminate.fingerprint("h").alias("p")).collect():
         want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in r.h) > len(r.h))
         assert r.p & (2**64 - 1) == want
-    assert len(decontaminate.variants()) == 93
+    most = decontaminate.RADIUS // decontaminate.BLOCKS
+    assert sorted(decontaminate.variants()) == [x for x in range(256) if x.bit_count() <= most] and decontaminate.RADIUS < decontaminate.BLOCKS * (most + 1)
+
+
+def windows_and_items(rows, items, limit):
+    """All windows of each item's length at every place, by counted shingles."""
+    cut = lambda t: [w for w in re.split(decontaminate.BREAK, (t or "").lower()) if w]
+    grams = lambda w, n: Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    out = []
+    for d, t in rows:
+        w, found = cut(t), {}
+        for k, item in items:
+            i = cut(item)
+            size = min(5, len(i))
+            want = grams(i, size)
+            for at in range(len(w) if i else 0):
+                got = grams(w[at : at + len(i)], size)
+                same = (got & want).total() / max(1, (got | want).total())
+                if same >= limit:
+                    found[k] = max(same, found.get(k, 0.0))
+        out.append((d, tuple(sorted(found)), round(max(found.values(), default=0.0), 9)))
+    return sorted(out, key=str)
+
+
+def test_decontamination_against_all_windows(spark):
+    r = np.random.default_rng(8)
+    items = [(k, " ".join(f"i{k}w{j % (9 if k == 5 else 999)}" for j in range(n))) for k, n in enumerate((60, 40, 40, 120, 12, 45, 3, 60))]
+    items[7] = (7, items[0][1].replace("i0w30", "swapped"))
+    rows = []
+    for n in range(160):
+        text = " ".join(f"own{r.integers(400)}" for _ in range(r.integers(0, 120))).split()
+        for _ in range(r.integers(0, 3)):
+            words = items[r.integers(len(items))][1].split()
+            for _ in range(r.integers(0, 4)):
+                at = r.integers(len(words))
+                words[at : at + 1] = [["x"], [], [words[at], "y"]][r.integers(3)]
+            turn = r.integers(len(words) or 1) if r.random() < 0.3 else 0  # a block moved to the front
+            words = words[turn:] + words[:turn]
+            at = r.integers(len(text) + 1)
+            text[at:at] = words[r.integers(0, 6) :] if r.random() < 0.4 else words
+        rows.append((n, " ".join(text)))
+    got = decontaminate.mark(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = sorted(((x.doc_id, tuple(x.item_ids), round(x.similarity, 9)) for x in got), key=str)
+    want = windows_and_items(rows, items, 0.8)
+    assert got == want and 40 < sum(bool(x[1]) for x in want) < 160
