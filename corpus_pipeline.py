@@ -13,32 +13,60 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corroborate.llm import decontaminate, line_dedup, minhash, packing, toxicity
-from corroborate.llm.common import materialize, table
+from corroborate.llm.common import fresh, materialize, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of ``docs`` that score less than 0.3, learned from the labels of ``docs`` itself.
+
+    Null, empty and blank texts score by the bias alone; without labels nothing is rejected. Equal
+    texts score equally, so repeated rows stay or go together; texts of any length are scored whole.
+    An empty table comes back empty. Columns may have any names and stay as they are.
+    """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    score = toxicity.scorer(docs, model)
-    return docs.withColumn("_toxicity", score(F.col("text"))).where("_toxicity < 0.3").drop("_toxicity")
+    score = fresh(docs, "toxicity")
+    return docs.withColumn(score, toxicity.scorer(docs, model)(F.col("text"))).where(F.col(score) < 0.3).drop(score)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup(docs, n_removed="_n_removed", source_ids="_source_ids")
-    out = out.where((F.col("_n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    """``docs`` without the blocks of lines that earlier documents hold; ``n_chars``, if there, follows the text.
+
+    A document of which no word is left goes; one that had none before stays. Rows with a null id, and
+    rows of one id among each other, are not compared. An empty table comes back empty. Columns may
+    have any names and stay as they are.
+    """
+    n_removed, sources = fresh(docs, "n_removed"), fresh(docs, "source_ids")
+    out = line_dedup.dedup(docs, n_removed=n_removed, source_ids=sources)
+    out = out.where((F.col(n_removed) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(n_removed) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.drop(n_removed, sources)
 
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group linked at 0.8 of five-word shingles.
+
+    Texts without words are linked with nothing and stay. Rows that repeat an id are judged by their
+    own texts, and one of them stays in a group. An empty table comes back empty. Columns may have any
+    names and stay as they are.
+    """
     return minhash.keep_one(docs, minhash.Settings(words=5, percent=80))
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of ``docs`` that hold no item of ``benchmark`` at 0.8 or more.
+
+    Texts and items without words are never found; an empty table, or no items, leaves all as it is.
+    Repeated rows stay or go together. Columns may have any names and stay as they are.
+    """
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows; a null or empty text is its closing id alone, repeated rows are packed each.
+
+    Only doc_id and text are read; an empty table gives no pieces.
+    """
     return packing.pieces(docs, most=1024)
 
 
