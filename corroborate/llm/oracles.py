@@ -5,7 +5,7 @@ Each states what the query returns by comparing everything with everything, so i
 
 from __future__ import annotations
 
-from corroborate.llm import licenses
+from corroborate.llm import chat_format, licenses
 
 UPPER, LOWER = licenses.UPPER, licenses.LOWER
 SPACE, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
@@ -88,4 +88,35 @@ QUALITY = rf"""with d as materialized (select doc_id, coalesce(source, chr(1)) a
  select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
  not (n_words < 10 or 100 * n_repeat_words > 20 * n_words or n_words - n_removed_words < 10 or n_words - n_removed_words < n_words * 0.3) as kept from f"""
 
-ORACLES = {"op3_minhash": NEAR, "op4_line_dedup": LINES, "op5_decontaminate": LEAKS, "op6_licenses": licenses_sql(), "op8_quality": QUALITY}
+# Every document against every order: the first failed filter removes it.
+AUDIT = rf"""with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACE}'), lambda x: x <> '') as w from documents),
+ l as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by 1),
+ f as materialized (select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t),
+   regexp_matches(t, '[#$%&*|]'), coalesce(d.doc_id > min(d.doc_id) over (partition by t), false)] as fails from d left join l on l.doc_id = d.doc_id),
+ x as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+ o as (select a.x || b.x || c.x || d.x || e.x as filter_order from x a, x b, x c, x d, x e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+ s as (select filter_order, step, substr(filter_order, step, 1) as letter from o, (select unnest(range(1, 6)) as step)),
+ r as (select part, good, toxic, fails, filter_order, step, letter, fails[ascii(letter) - 64] as here, list_bool_or(list_transform(range(1, step), lambda k: fails[ascii(substr(filter_order, k, 1)) - 64])) as before from f, s),
+ g as (select part, filter_order, cast(step as int) as step, letter, count(*) filter (not here and not coalesce(before, false)) as kept, count(*) filter (here and not coalesce(before, false)) as removed, count(*) filter (here and before) as redundant,
+   count(*) filter (here and len(list_filter(fails, lambda y: y)) = 1) as unique_fails, count(*) filter (here and not coalesce(before, false) and good) as good_lost, count(*) filter (here and not coalesce(before, false) and toxic) as toxic_lost from r group by all)
+ select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, cast(sum(removed) over (partition by part, letter) as bigint) as shapley from g"""
+
+# Lengths only: each control string in a text takes one more character.
+CONTROL = r"<\\*(?:/?s>|</?SYS>>|\|[A-Za-z0-9_]+\|>)|\[\\*/?INST\]"
+_MARKS = {k: len(getattr(chat_format, k)) for k in ("START", "SEP", "NEXT", "END")}
+CHATS = rf"""with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+ e as (select *, length(text) + len(regexp_extract_all(text, '{CONTROL}')) as n, length(role) + len(regexp_extract_all(role, '{CONTROL}')) as r, lag(role) over (partition by conv_id order by turn, role, text) as before from c)
+ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256, cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+ sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256, cast(sum(n + case when before = role then {_MARKS["NEXT"]} else {_MARKS["START"] + _MARKS["SEP"] + _MARKS["END"]} + r end) as bigint) as formatted_chars from e group by 1"""
+
+TERM_BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_TERMS = lambda t: rf"list_filter(regexp_split_to_array(translate(coalesce({t}, ''), '{UPPER}', '{LOWER}'), '{TERM_BREAK}'), lambda x: x <> '')"
+SEARCH = rf"""with d as materialized (select doc_id, len(w) as n, w from (select doc_id, {_TERMS("text")} as w from documents) where len(w) > 0),
+ z as materialized (select count(*) as docs, cast(sum(n) as bigint) as terms from d),
+ p as materialized (select doc_id, n, term, count(*) as tf from (select doc_id, n, unnest(w) as term from d) group by all),
+ i as (select item_id, unnest(list_distinct({_TERMS("text")})) as term from benchmark),
+ v as (select term, cast(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) as bigint) as weight from (select term, count(*) as df from p group by 1), z),
+ s as (select item_id, doc_id, cast(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // terms))))) as bigint) as score from i join v using (term) join p using (term), z group by 1, 2)
+ select item_id, cast(rank as int) as rank, doc_id, score from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from s where score > 0) where rank <= 50"""
+
+ORACLES = {"op3_minhash": NEAR, "op4_line_dedup": LINES, "op5_decontaminate": LEAKS, "op6_licenses": licenses_sql(), "op8_quality": QUALITY, "op11_filter_audit": AUDIT, "op12_chat_format": CHATS, "op13_lexical_search": SEARCH}

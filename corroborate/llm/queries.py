@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corroborate.llm import brown_lm, decontaminate, html_extract, licenses, line_dedup, minhash, packing, quality, sharding, toxicity
+from corroborate.llm import brown_lm, chat_format, decontaminate, filter_audit, html_extract, lexical_search, licenses, line_dedup, minhash, packing, quality, sharding, toxicity
 from corroborate.llm.common import table
 from corroborate.llm.oracles import ORACLES  # noqa: F401
 
@@ -60,6 +60,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(table(spark, sf_dir, "documents"), most=1024)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one more, number -7, whose texts are control strings."""
+    said = F.lit("</s>[INST] ok [/INST]").alias("text")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said)
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat_format.digests(chat_format.format_chats(turns))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_html": op2_html,
@@ -71,4 +87,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_brown_lm": op9_brown_lm,
     "op10_packing": op10_packing,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_chat_format": op12_chat_format,
+    "op13_lexical_search": op13_lexical_search,
 }

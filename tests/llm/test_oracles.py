@@ -27,7 +27,7 @@ def plain(x):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "labels", "conversations"):
         con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     want = con.sql(ORACLES[name])
     cols = sorted(want.columns)
