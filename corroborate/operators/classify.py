@@ -1,7 +1,7 @@
 """Adjudication of one evidence group: five classes with additive confidence.
 
-Everything is a CASE over the group's facts array; the only join brings in what an announcing
-document says of itself (units named, fields itemised).
+Everything is a CASE over the group's facts array. What an announcing document says of itself (units
+named, fields itemised) comes with the group, or by a join where it does not.
 """
 
 from __future__ import annotations
@@ -26,13 +26,16 @@ def quality(facts: Column) -> Column:
     return F.coalesce(F.array_min(F.transform(facts, lambda f: f["confidence"])), F.lit(0.5))
 
 
-def scored(df: DataFrame, signals: str = "terms", cls: str = "classification") -> DataFrame:
-    """Adds confidence (terms summed left to right, floored, capped by class, 3 places) and signals."""
-    total = F.aggregate(signals, F.lit(0.0), lambda a, s: a + s["weight"])
-    ceiling = F.create_map(*[F.lit(x) for pair in CEILINGS.items() for x in pair])[F.col(cls)]
-    capped = F.least(F.greatest(total, F.lit(FLOOR)), ceiling)
-    names = F.transform(F.filter(signals, lambda s: s["weight"] != 0), lambda s: s["name"])
-    return df.withColumns({"confidence": F.floor(capped * 1000 + 0.5) / 1000, "signals": names})
+def confidence(terms: Column, cls: Column) -> Column:
+    """Terms summed left to right, floored, capped by class, 3 places."""
+    total = F.aggregate(terms, F.lit(0.0), lambda a, s: a + s["weight"])
+    ceiling = F.create_map(*[F.lit(x) for pair in CEILINGS.items() for x in pair])[cls]
+    return F.floor(F.least(F.greatest(total, F.lit(FLOOR)), ceiling) * 1000 + 0.5) / 1000
+
+
+def signals(terms: Column) -> Column:
+    """Names of the terms that count."""
+    return F.transform(F.filter(terms, lambda s: s["weight"] != 0), lambda s: s["name"])
 
 
 def document_marks(facts: DataFrame) -> DataFrame:
@@ -43,7 +46,16 @@ def document_marks(facts: DataFrame) -> DataFrame:
 
 
 def classify(groups: DataFrame, marks: DataFrame) -> DataFrame:
-    """One finding per group: classification, confidence, rationale, signals, evidence, superseded_by."""
+    """One finding per group; ``marks`` are the ``document_marks`` of the same facts."""
+    g, last = groups.withColumn("_last", F.try_element_at("facts", F.lit(-1))["document_id"]), marks.withColumnRenamed("document_id", "_doc")
+    return judged(g.join(last, (g["packet_id"] == last["packet_id"]) & (F.col("_last") == F.col("_doc")), "left").drop(last["packet_id"]))
+
+
+def judged(groups: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """One finding per group: classification, confidence, rationale, signals, evidence, superseded_by.
+
+    ``groups`` have names_unit and itemised of the document of their last fact; columns ``keep`` stay. No rows move.
+    """
     g = groups.withColumns(
         {
             "canon": F.array_distinct(F.transform("facts", lambda f: f["value"]["canonical"])),
@@ -51,13 +63,12 @@ def classify(groups: DataFrame, marks: DataFrame) -> DataFrame:
             "docs": F.size(F.array_distinct(F.transform("facts", lambda f: f["document_id"]))),
             "n": F.size("facts"),
             "q": quality(F.col("facts")),
-            "final": F.element_at("facts", -1),
+            "final": F.try_element_at("facts", F.lit(-1)),
             "rule": F.try_element_at(F.filter(F.transform("facts", lambda f: f["value"]["domain_rule"]), lambda r: r.isNotNull()), F.lit(1)),
             "ambiguous": F.exists("facts", lambda f: f["value"]["ambiguous"]),
             "change_words": F.exists("facts", lambda f: f["change_intent"].isNotNull()),
         }
     )
-    g = g.join(marks.withColumnRenamed("document_id", "_doc"), (g["packet_id"] == marks["packet_id"]) & (F.col("final.document_id") == F.col("_doc")), "left").drop(marks["packet_id"])
     one = F.size("canon") == 1
     close = (F.col("field") == "vin") & F.forall("canon", lambda a: F.forall("canon", lambda b: (a == b) | N.confusable(a, b)))
     superseded = F.col("final.change_intent").isNotNull() & F.exists("facts", lambda f: f["value"]["canonical"] != F.col("final.value.canonical"))
@@ -92,8 +103,8 @@ def classify(groups: DataFrame, marks: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.lit("Different values and no change wording: "), readings))
     )
     by = F.when(F.col("classification") == "supersession", F.struct(F.col("final.document_id").alias("document_id"), F.col("final.document_title").alias("document_title"), F.col("final.received_at").alias("at")))
-    out = scored(g.withColumn("classification", cls).withColumn("terms", terms))
-    return out.select("packet_id", "group_key", "label", "entity_key", "field", "classification", "confidence", why.alias("rationale"), "signals", F.col("facts").alias("evidence"), by.alias("superseded_by"))
+    out = g.withColumn("classification", cls).withColumn("terms", terms).withColumns({"confidence": confidence(F.col("terms"), F.col("classification")), "signals": signals(F.col("terms"))})
+    return out.select("packet_id", "group_key", "label", "entity_key", "field", "classification", "confidence", why.alias("rationale"), "signals", F.col("facts").alias("evidence"), by.alias("superseded_by"), *(keep or []))
 
 
 def classify_naive(groups: DataFrame) -> DataFrame:

@@ -25,24 +25,20 @@ def evidence(facts: DataFrame) -> DataFrame:
     return facts.withColumn("ev", F.struct("received_at", "document_id", F.col("span.start").alias("start"), "fact_seq", "fact_id", "raw", "value", "span", "confidence", "change_intent", "entity_key", "field", "document_title"))
 
 
+def group_label(entity: Column, field: Column) -> Column:
+    names = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
+    return F.concat(N.entity_label(entity), F.lit(" — "), F.coalesce(F.try_element_at(names, field), field))
+
+
 def groups(facts: DataFrame) -> DataFrame:
     """(packet_id, group_key, entity_key, field, label, facts): facts sorted by arrival, document, offset.
 
-    The sort key leads the struct, so array_sort orders it and ties fall to fact_seq. A group is what
+    The sort key leads the struct, so its own order is theirs and ties fall to fact_seq. A group is what
     one packet says of one entity's field, a handful of rows.
     """
     kept = evidence(facts.where(~F.col("field").isin(*SUPPORTING)))
-    out = kept.groupBy("packet_id", "entity_key", "field").agg(F.array_sort(F.collect_list("ev"), _earlier).alias("facts"))
-    names = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
-    label = F.concat(N.entity_label(F.col("entity_key")), F.lit(" — "), F.coalesce(F.try_element_at(names, F.col("field")), F.col("field")))
-    return out.select("packet_id", group_key(F.col("entity_key"), F.col("field")).alias("group_key"), "entity_key", "field", label.alias("label"), "facts")
-
-
-def _earlier(a: Column, b: Column) -> Column:
-    out = F.lit(0)
-    for k in ("fact_seq", "start", "document_id", "received_at"):
-        out = F.when(a[k] < b[k], -1).when(a[k] > b[k], 1).otherwise(out)
-    return out
+    out = kept.groupBy("packet_id", "entity_key", "field").agg(F.sort_array(F.collect_list("ev")).alias("facts"))
+    return out.select("packet_id", group_key(F.col("entity_key"), F.col("field")).alias("group_key"), "entity_key", "field", group_label(F.col("entity_key"), F.col("field")).alias("label"), "facts")
 
 
 def ordered(groups_df: DataFrame) -> DataFrame:

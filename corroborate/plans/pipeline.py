@@ -41,10 +41,8 @@ def analyze(documents: DataFrame, rules: list[U.Rule] | None = None) -> Analysis
     # Both engines and every rule read these tables: written once, so plans stay small.
     got = X.Extraction(materialize(got.facts, "facts"), materialize(got.tables, "tables"))
     groups = materialize(L.groups(got.facts), "groups")
-    observed = C.classify(groups, C.document_marks(got.facts)).withColumn("explained_by", F.array().cast(SPANS))
-    observed = materialize(observed, "observed")
-    derived = U.derive(U.Context(got.facts, got.tables, groups, observed), rules)
-    findings = derived.withColumn("derived", F.lit(True)).unionByName(observed.withColumn("derived", F.lit(False)))
+    state = materialize(U.packets(got.facts, got.tables), "packets")
+    findings = U.derive(state, rules).withColumn("derived", F.lit(True)).unionByName(U.observed(state).withColumn("derived", F.lit(False)))
     return Analysis(got.facts, got.tables, groups, materialize(_numbered(findings, "reference"), "findings"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corroborate.functions import normalize as N
+from corroborate.functions import spans as S
 from corroborate.operators import browse
 from corroborate.operators import classify as C
 from corroborate.operators import extract as X
@@ -20,8 +21,6 @@ from corroborate.operators import rules as U
 from corroborate.plans.queries import _decisions, _graded, graded_sql, table
 from corroborate.sources import runs
 
-TABLES = "packet_id string, table_seq int, document_id string, document_kind string, document_title string, received_at timestamp, span struct<document_id:string,start:int,end:int,quote:string>, units array<int>, degraded boolean"
-
 
 def facts(rows: DataFrame) -> DataFrame:
     """Facts in the shape of ``extract`` from rows of packet_id, entity_key, field and value; other columns are filled in."""
@@ -37,11 +36,9 @@ def facts(rows: DataFrame) -> DataFrame:
     )
 
 
-def context(rows: DataFrame, tables: DataFrame | None = None) -> U.Context:
-    got = facts(rows)
-    groups = L.groups(got)
-    none = rows.sparkSession.createDataFrame([], TABLES) if tables is None else tables
-    return U.Context(got, none, groups, C.classify(groups, C.document_marks(got)))
+def apply(rule: U.Rule | list[U.Rule], rows: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """Findings of a rule, or of several, over the packets that ``rows`` make."""
+    return U.derive(U.packets(facts(rows), tables), rule if isinstance(rule, list) else [rule])
 
 
 def union(*parts: DataFrame) -> DataFrame:
@@ -68,14 +65,34 @@ def whole_cents(c: str) -> Column:
     return (F.col(c).cast("decimal(18,2)") * 100).cast("bigint")
 
 
-def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with a number of their own within the order."""
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_returnflag", "l_linestatus")
-    return table(spark, sf_dir, "lineitem").withColumn("unit", F.row_number().over(order))
+#: The order of an order's lines; a line's place in it is its unit number.
+LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_returnflag", "l_linestatus"]
+
+
+def _orders_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(l_orderkey, lines): the lines of each order in order, from one scan."""
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*LINE_ORDER))).alias("lines"))
+
+
+def said(entity: Column | str, field: str, value: Column, received_at: Column | None = None, change_intent: str | None = None, document_id: str = "d") -> Column:
+    """A reading as a struct, for packets that give an array of them."""
+    return F.struct(
+        (F.lit(entity) if isinstance(entity, str) else entity).alias("entity_key"), F.lit(field).alias("field"), value.alias("value"), (early() if received_at is None else received_at).alias("received_at"),
+        F.lit(change_intent).cast("string").alias("change_intent"), F.lit(document_id).alias("document_id"),
+    )
+
+
+def each_said(rows: DataFrame, packet: str, *arrays: Column) -> DataFrame:
+    """One row per reading of the arrays; null readings are none."""
+    return rows.select(F.col(packet).alias("packet_id"), F.inline_outer(F.concat(*arrays))).where(F.col("field").isNotNull())
 
 
 _UNITS_SQL = """with units as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_returnflag, l_linestatus) as unit from lineitem)"""
 
+def early() -> Column:
+    return F.lit("2025-01-01 00:00:00").cast("timestamp")
+
+
 def later() -> Column:
     return F.lit("2025-02-01 00:00:00").cast("timestamp")
 
@@ -85,53 +102,51 @@ def rule_scheduled_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Even orders state the right total; a third of all state a second total, so theirs is in dispute.
     """
-    lines = _units(spark, sf_dir).select("l_orderkey", "unit", whole_cents("l_extendedprice").alias("cents"), "l_returnflag")
-    halved = F.when(F.col("l_returnflag") == "R", F.floor(F.col("cents") / 2).cast("bigint"))
-    sums = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(F.coalesce(halved, F.col("cents"))).alias("sum"))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", whole_cents("o_totalprice").alias("cents")).join(sums, "o_orderkey", "left")
+    cents = lambda x: (x["l_extendedprice"].cast("decimal(18,2)") * 100).cast("bigint")
+    halved = lambda x: F.floor(cents(x) / 2).cast("bigint")
+    back = lambda x: x["l_returnflag"] == "R"
+    lines = _orders_lines(spark, sf_dir)
+    lines = lines.withColumn("sum", F.aggregate("lines", F.lit(0).cast("bigint"), lambda a, x: a + F.when(back(x), halved(x)).otherwise(cents(x))))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", whole_cents("o_totalprice").alias("cents")).join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     total = F.when(F.col("o_orderkey") % 2 == 0, F.coalesce("sum", "cents")).otherwise(F.col("cents"))
-    rows = union(
-        fact(orders, "o_orderkey", "policy", "total_scheduled_value", number("money", total)),
-        fact(orders.where("o_orderkey % 3 = 0"), "o_orderkey", "policy", "total_scheduled_value", number("money", total + 1), received_at=later()),
-        fact(lines, "l_orderkey", unit(F.col("unit")), "stated_value", number("money", F.col("cents"))),
-        fact(lines.where("l_returnflag = 'R'"), "l_orderkey", unit(F.col("unit")), "stated_value", number("money", halved), received_at=later(), change_intent=F.lit("revise")),
-    )
-    out = U.scheduled_value_reconciliation(context(rows))
+    stated = F.array(said("policy", "total_scheduled_value", number("money", total)), F.when(F.col("o_orderkey") % 3 == 0, said("policy", "total_scheduled_value", number("money", total + 1), later())))
+    worth = lambda x, i: F.array(said(unit(i + 1), "stated_value", number("money", cents(x))), F.when(back(x), said(unit(i + 1), "stated_value", number("money", halved(x)), later(), "revise")))
+    out = apply(U.scheduled_value_reconciliation, each_said(orders, "o_orderkey", stated, F.coalesce(F.flatten(F.transform("lines", worth)), F.slice(stated, 1, 0))))
     return out.select(F.col("packet_id").cast("bigint").alias("o_orderkey"), "classification", "confidence", F.size("evidence").cast("bigint").alias("n_evidence"))
 
 
 def rule_vehicle_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as packets: stated lines against one or two tables of lines, additions and lines cited as gone."""
-    lines = _units(spark, sf_dir).select("l_orderkey", "unit", "l_linenumber", "l_returnflag")
-    per = lines.groupBy("l_orderkey").agg(F.max("l_linenumber").cast("bigint").alias("stated"), F.count("*").cast("int").alias("n"))
+    """Orders as packets: stated lines against one or two tables of lines, additions and lines cited as gone.
+
+    ``primary_table`` is the table that was taken for the count, ``scheduled`` the number of units of all tables.
+    """
     text = lambda c: N.value("text", F.lit(c))
-    rows = union(
-        fact(per, "l_orderkey", "policy", "stated_vehicle_count", number("count", F.col("stated"))),
-        fact(per.where("l_orderkey % 4 = 0"), "l_orderkey", "policy", "stated_vehicle_count", number("count", F.col("stated")), document_id=F.lit("e"), received_at=later()),
-        fact(per.where("l_orderkey % 5 = 0"), "l_orderkey", unit(F.col("n") + 3), "endorsement_add_unit", number("count", F.col("n") + 3)),
-        fact(per.where("l_orderkey % 5 = 0"), "l_orderkey", unit(F.lit(1)), "endorsement_add_unit", number("count", F.lit(1))),
-        fact(lines.where("l_returnflag = 'R'"), "l_orderkey", unit(F.col("unit") + 1000), "unit_status", text("out_of_service;removed_from_schedule")),
-        fact(lines.where("l_returnflag <> 'R'"), "l_orderkey", unit(F.col("unit") + 1000), "unit_status", text("out_of_service")),
-    )
-    sheet = lambda df, k, units: df.select(
-        F.col("l_orderkey").cast("string").alias("packet_id"), F.lit(k).alias("table_seq"), F.lit("t").alias("document_id"), F.lit("schedule").alias("document_kind"), F.lit("t").alias("document_title"),
-        F.lit("2025-01-01 00:00:00").cast("timestamp").alias("received_at"), F.struct(F.lit("t").alias("document_id"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("quote")).alias("span"), units.alias("units"), F.lit(False).alias("degraded"),
-    )
-    tables = sheet(per, 1, F.sequence(F.lit(1), F.col("n"))).unionByName(sheet(per.where("l_orderkey % 2 = 0"), 2, F.array(F.col("n"), F.col("n") + 1)))
-    out = U.vehicle_count_reconciliation(context(rows, tables))
-    return out.select(F.col("packet_id").cast("bigint").alias("l_orderkey"), "classification", "confidence", F.size("explained_by").cast("bigint").alias("explained"))
+    key, n = F.col("l_orderkey"), F.size("lines")
+    lines = _orders_lines(spark, sf_dir)
+    stated = F.array_max(F.transform("lines", lambda x: x["l_linenumber"])).cast("bigint")
+    policy = F.array(
+        said("policy", "stated_vehicle_count", number("count", stated)), F.when(key % 4 == 0, said("policy", "stated_vehicle_count", number("count", stated), later(), document_id="e")),
+        F.when(key % 5 == 0, said(unit(n + 3), "endorsement_add_unit", number("count", n + 3))), F.when(key % 5 == 0, said(unit(F.lit(1)), "endorsement_add_unit", number("count", F.lit(1)))),
+    )
+    status = F.transform("lines", lambda x, i: said(unit(i + 1001), "unit_status", F.when(x["l_returnflag"] == "R", text("out_of_service;removed_from_schedule")).otherwise(text("out_of_service"))))
+    sheet = lambda k, doc, units: F.struct(F.lit(k).alias("table_seq"), F.lit(doc).alias("document_id"), units.alias("units"))
+    sheets = F.array(sheet(1, "t", F.sequence(F.lit(1), n)), F.when(key % 2 == 0, sheet(2, "u", F.array(n, n + 1))))
+    tables = lines.select(key.cast("string").alias("packet_id"), F.inline_outer(sheets)).where(F.col("table_seq").isNotNull())
+    span = F.struct(F.col("document_id"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("quote"))
+    tables = tables.select("packet_id", "table_seq", "document_id", F.lit("t").alias("document_title"), early().alias("received_at"), span.alias("span"), "units", F.lit(False).alias("degraded"))
+    out = apply(U.vehicle_count_reconciliation, each_said(lines, "l_orderkey", policy, status), tables)
+    counted = F.filter("evidence", lambda f: f["field"] == "schedule_unit_count")
+    return out.select(
+        F.col("packet_id").cast("bigint").alias("l_orderkey"), "classification", "confidence", F.size("explained_by").cast("bigint").alias("explained"), F.get(counted, 0)["document_id"].alias("primary_table"), F.get(counted, 0)["value"]["numeric"].alias("scheduled"),
+    )
 
 
 def rule_vin_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as packets, lines as units: numbers that two of them carry, and whether they are rated or described apart."""
-    lines = _units(spark, sf_dir)
-    own = lambda field, value: fact(lines, "l_orderkey", unit(F.col("unit")), field, value)
-    rows = union(
-        own("vin", N.value("vin", F.concat(F.lit("V"), (F.col("l_partkey") % 40).cast("string")))),
-        own("stated_value", number("money", whole_cents("l_discount"))),
-        own("year_make_model", N.value("text", F.col("l_linestatus"))),
-    )
-    out = U.vin_uniqueness(context(rows))
+    number_of = lambda x: N.value("vin", F.concat(F.lit("V"), (x["l_partkey"] % 40).cast("string")))
+    discount = lambda x: (x["l_discount"].cast("decimal(18,2)") * 100).cast("bigint")
+    own = lambda x, i: F.array(said(unit(i + 1), "vin", number_of(x)), said(unit(i + 1), "stated_value", number("money", discount(x))), said(unit(i + 1), "year_make_model", N.value("text", x["l_linestatus"])))
+    out = apply(U.vin_uniqueness, each_said(_orders_lines(spark, sf_dir), "l_orderkey", F.flatten(F.transform("lines", own))))
     shared = F.when(F.col("classification") == "conflict", F.split_part("rationale", F.lit(": "), F.lit(2))).otherwise("")
     return out.select(F.col("packet_id").cast("bigint").alias("l_orderkey"), "classification", "confidence", shared.alias("shared"))
 
@@ -147,7 +162,7 @@ def rule_loss_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         claim(c.where("c_custkey % 3 = 0"), F.lit("qualifier=minor"), 3),
         fact(losses, "o_custkey", F.concat(F.lit("loss:"), F.col("o_orderkey").cast("string")), "loss_incurred", number("money", F.col("n"))),
     )
-    out = U.loss_history_completeness(context(rows))
+    out = apply(U.loss_history_completeness, rows)
     return out.select(F.col("packet_id").cast("bigint").alias("c_custkey"), "classification", "confidence", F.size("evidence").cast("bigint").alias("n_evidence"))
 
 
@@ -155,14 +170,13 @@ def rule_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as packets, customers as units: near-equal addresses kept apart, and the number of places."""
     c = table(spark, sf_dir, "customer")
     address = F.concat((F.col("c_custkey") % 30).cast("string"), F.lit(" MAIN QUARRY "), F.when(F.col("c_custkey") % 7 < 3, "ST").otherwise("AVE"))
-    c = c.select("c_nationkey", "c_custkey", address.alias("a")).where("c_nationkey % 5 <> 0 or c_custkey % 30 = 2")
+    c = c.select("c_nationkey", "c_custkey", address.alias("a"))
     places = c.groupBy("c_nationkey").agg(F.count_distinct("a").alias("n"))
     rows = union(
         fact(c, "c_nationkey", unit(F.col("c_custkey")), "garaging_address", N.value("address", F.col("a")), fact_seq=F.col("c_custkey")),
         fact(places, "c_nationkey", "policy", "garaging_location_count", number("count", F.col("n") + F.col("c_nationkey") % 2)),
     )
-    ctx = context(rows)
-    out = U.location_roster(ctx).unionByName(U.location_count_reconciliation(ctx))
+    out = apply([U.location_roster, U.location_count_reconciliation], rows)
     return out.select(F.col("packet_id").cast("bigint").alias("nation"), F.col("field").alias("rule"), "classification", "confidence", F.size("evidence").cast("bigint").alias("n_evidence"))
 
 
@@ -252,10 +266,16 @@ def normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def change_verbs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the last change word in the 500 characters before a comma says, in texts with planted words."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.element_at(F.array(*map(F.lit, ["Added ", "please REMOVE ", "endorsement: ", "addition ", ""])), (F.col("doc_id") % 5 + 1).cast("int")), "text").alias("t"))
-    at = docs.select("doc_id", "t", F.explode(F.array(F.locate(",", F.col("t")), F.lit(500), F.lit(520))).alias("at")).where("at > 0")
-    return at.select("doc_id", F.col("at").cast("bigint").alias("pos"), F.coalesce(X.change_intent(F.col("t"), F.col("at") - 1), F.lit("")).alias("intent")).distinct()
+    """What the last change word in the 500 characters before a comma says, for every comma of texts with planted words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(_planted(), "text").alias("t"))
+    at = docs.select("doc_id", "t", F.explode_outer(F.transform(S.matches(F.col("t"), ","), lambda m: m["start"])).alias("at")).where("at is not null")
+    return at.select("doc_id", (F.col("at") + 1).cast("bigint").alias("pos"), F.coalesce(X.change_intent(F.col("t"), F.col("at")), F.lit("")).alias("intent"))
+
+
+def _planted() -> Column:
+    """A word before each text, and of every third text one more in place of it, so that both ends of the 500 characters are reached."""
+    words = F.array(*map(F.lit, ["Added ", "please REMOVE ", "endorsement: ", "addition ", ""]))
+    return F.concat(F.element_at(words, (F.col("doc_id") % 5 + 1).cast("int")), F.when(F.col("doc_id") % 3 == 0, F.concat(F.repeat(F.lit("x, "), 166), F.lit("deleted "))).otherwise(F.lit("")))
 
 
 QUERIES = {
@@ -276,7 +296,7 @@ ORACLES = {
  d as (select *, stated - n - case when l_orderkey % 2 = 0 then 1 else 0 end - case when l_orderkey % 5 = 0 then 1 else 0 end as delta from p),
  c as (select *, case when delta = 0 then 'consistent' when delta > 0 and delta = off then 'benign_variant' else 'conflict' end as classification from d)
  select l_orderkey, classification, cast(case classification when 'consistent' then 0.97 when 'benign_variant' then 0.942 else case when l_orderkey % 4 = 0 then 0.97 else 0.91 end end as double) as confidence,
- case when classification = 'benign_variant' then off else 0 end as explained from c""",
+ case when classification = 'benign_variant' then off else 0 end as explained, case when l_orderkey % 2 = 0 and n < 2 then 'u' else 't' end as primary_table, n + case when l_orderkey % 2 = 0 then 1 else 0 end as scheduled from c""",
     "rule_vin_uniqueness": _UNITS_SQL
     + """, v as (select l_orderkey, 'V' || l_partkey % 40 as vin, count(*) as units, count(distinct l_discount) as w, count(distinct l_linestatus) as m from units group by 1, 2),
  s as (select l_orderkey, count(*) filter (units > 1) as shared_n, coalesce(string_agg(vin, ', ' order by vin) filter (units > 1), '') as shared, coalesce(bool_or(w > 1) filter (units > 1), false) as rated, coalesce(bool_or(m > 1) filter (units > 1), false) as described from v group by 1)
@@ -288,7 +308,7 @@ ORACLES = {
  t as (select *, cast(b1 as int) + cast(b2 as int) + cast(b3 as int) as k, (b1 and n / greatest(said, 1) >= 5) or (b2 and worst / 300000.0 >= 5) or (b3 and worst / 25000.0 >= 5) as severe from b)
  select c_custkey, case when k > 0 then 'conflict' else 'consistent' end as classification, 1 + cast(c_custkey % 2 = 0 as bigint) + cast(c_custkey % 3 = 0 as bigint) + n as n_evidence,
  cast(case when k = 0 then 0.948 else least(0.97, round(0.675 + 0.12 * k + case when severe then 0.10 else 0 end, 3)) end as double) as confidence from t""",
-    "rule_locations": """with c as (select c_nationkey, c_custkey, (c_custkey % 30) || ' MAIN QUARRY ' || case when c_custkey % 7 < 3 then 'ST' else 'AVE' end as a from customer where c_nationkey % 5 <> 0 or c_custkey % 30 = 2),
+    "rule_locations": """with c as (select c_nationkey, c_custkey, (c_custkey % 30) || ' MAIN QUARRY ' || case when c_custkey % 7 < 3 then 'ST' else 'AVE' end as a from customer),
  d as (select distinct c_nationkey, a, string_split(a, ' ') as s from c), n as (select c_nationkey, count(*) as n from d group by 1),
  p as (select distinct x.c_nationkey from d x join d y on x.c_nationkey = y.c_nationkey and x.a < y.a and (x.s[1] = y.s[1]) <> (x.s[4] = y.s[4]) where 1 - levenshtein(x.a, y.a) / greatest(length(x.a), length(y.a)) >= 0.85)
  select c_nationkey as nation, 'location_roster' as rule, case when p.c_nationkey is null then 'consistent' else 'benign_variant' end as classification, cast(case when p.c_nationkey is null then 0.97 else 0.908 end as double) as confidence, n as n_evidence from n left join p using (c_nationkey)
@@ -320,8 +340,9 @@ ORACLES = {
  a <> b and (a[1] = b[1] or a[1] || b[1] in ('17', '71')) and (a[2] = b[2] or a[2] || b[2] in ('17', '71')) and (a[3] = b[3] or a[3] || b[3] in ('17', '71'))
    and cast(a[1] <> b[1] as int) + cast(a[2] <> b[2] as int) + cast(a[3] <> b[3] as int) <= 2 as confusable
  from (select *, lpad(cast(o_custkey % 300 as varchar), 3, '0') as a, lpad(cast(o_orderkey % 300 as varchar), 3, '0') as b from orders)""",
-    "change_verbs": """with d as (select doc_id, (['Added ', 'please REMOVE ', 'endorsement: ', 'addition ', ''])[doc_id % 5 + 1] || text as t from documents),
- p as (select doc_id, t, unnest([instr(t, ','), 500, 520]) as pos from d), w as (select doc_id, pos, t[greatest(pos - 1 - 500, 0) + 1 : pos - 1] as before from p where pos > 0),
+    "change_verbs": """with d as (select doc_id, (['Added ', 'please REMOVE ', 'endorsement: ', 'addition ', ''])[doc_id % 5 + 1] || case when doc_id % 3 = 0 then repeat('x, ', 166) || 'deleted ' else '' end || text as t from documents),
+ c as (select doc_id, t, unnest(string_split(t, ',')) as part, generate_subscripts(string_split(t, ','), 1) as i, len(string_split(t, ',')) as n from d),
+ p as (select doc_id, t, cast(sum(length(part) + 1) over (partition by doc_id order by i) as bigint) as pos, i, n from c), w as (select doc_id, pos, substring(t, greatest(pos - 500, 1), least(500, pos - 1)) as before from p where i < n),
  v as (select doc_id, pos, lower(list_last(regexp_extract_all(before, '(?i)\\b(add|adds|adding|added|revise|revises|revised|revision|amend|amends|amended|replace|replaces|replaced|remove|removes|removed|delete|deletes|deleted|correct|corrects|corrected|endorse|endorsed|endorsement)\\b', 1))) as verb from w)
- select distinct doc_id, cast(pos as bigint) as pos, case when verb like 'add%' then 'add' when verb like 'remove%' or verb like 'delete%' then 'remove' when verb is not null then 'revise' else '' end as intent from v""",
+ select doc_id, pos, case when verb like 'add%' then 'add' when verb like 'remove%' or verb like 'delete%' then 'remove' when verb is not null then 'revise' else '' end as intent from v""",
 }

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from corroborate.operators import browse
 from corroborate.operators import classify as C
+from corroborate.operators import extract as X
 from corroborate.operators import grade as G
 from corroborate.operators import link as L
 from corroborate.operators import noise
 from corroborate.operators import review as R
+from corroborate.operators import rules as U
 from corroborate.plans import pipeline as P
 from corroborate.sources import packets as K
 from corroborate.sources import runs
@@ -167,3 +169,33 @@ def test_stability(spark):
     noisy = spark.createDataFrame([("A", 1, "g", "conflict"), ("B", 1, "h", "conflict")], clean.schema)
     got = {r.packet_id: (r.stable, r.lost, r.gained) for r in noise.stability(clean, noisy).collect()}
     assert got == {"A": (True, [], []), "B": (False, ["g::conflict"], ["h::conflict"])}
+
+
+def test_reading_moves_no_rows(spark, corpus):
+    """Documents are read within their rows: no exchange, no join, nothing written before facts are ordered."""
+    plan = X.each(X.read_documents(corpus[1]), "facts")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "Window" not in plan
+    ordered = X.ordered_facts(X.read_documents(corpus[1]))._jdf.queryExecution().executedPlan().toString()
+    assert ordered.count("Exchange hashpartitioning") == 1
+
+
+def test_odd_documents(spark):
+    table = "Unit | VIN | Claim No | Incurred\n=====\n7 | A | CL-1 | $5\n| | |\n x | B | CL-2 | $6\nFoo | VIN | UNIT | x\n"
+    rows = [("P", 0, "D0", None), ("P", 1, "D1", ""), ("P", 2, "D2", "\n\n\n"), ("P", 3, "D3", table * 300 + "end"), ("P", 4, "D4", "no table\n=====\n1 | 2 | 3 | 4"), ("P", 5, "D5", "Unit | VIN | a | b")]
+    docs = spark.createDataFrame([(p, k, d, "x", "T", datetime(2025, 1, 1), t) for p, k, d, t in rows], K.DOCUMENTS)
+    got = X.extract(docs)
+    facts = got.facts.collect()
+    # The tables stand in one run of table lines, so the first header is that of all of them.
+    assert {(f.document_id, f.entity_key, f.field, f.raw) for f in facts} == {("D3", "vehicle:unit-7", "vin", "A")} and len(facts) == 300
+    assert [f.fact_seq for f in sorted(facts, key=lambda f: f.span.start)] == list(range(1, 301))
+    tables = {t.document_id: t for t in got.tables.collect()}
+    assert sorted(tables) == ["D3", "D5"] and tables["D3"].units == [7] * 300 and tables["D5"].units == [] and tables["D3"].span.end == len(table) * 300 - 1
+
+
+def test_packet_state_is_dealt_once(spark, analysis):
+    state = U.packets(analysis.facts, analysis.tables)
+    plan = U.derive(state)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    own = lambda p: F.when(F.size(p.tables) > 1, U.finding("two_tables", F.lit("benign_variant"), F.array(C.signal("tables.several", 0.5)), F.lit("several tables"), p.evidence("stated_vehicle_count")))
+    got = U.derive(state, [own]).collect()
+    assert {r.packet_id for r in got} == {"GP-091"} and got[0].confidence == 0.5 and got[0].group_key == "policy::two_tables"

@@ -15,13 +15,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from corroborate.functions import normalize as N
-from corroborate.operators.rules import NEAR_ADDRESS, near_pairs
+from corroborate.operators.rules import NEAR_ADDRESS, near_pairs, near_within
 from corroborate.operators.similar import similar_pairs
-from corroborate.plans import queries, rule_queries
+from corroborate.plans import extract_queries, queries, rule_queries
 
 DATA = Path("/root/testdata/sf0.001")
 ROOT = Path(__file__).resolve().parent.parent
-QUERIES, ORACLES = queries.QUERIES | rule_queries.QUERIES, queries.ORACLES | rule_queries.ORACLES
+QUERIES = queries.QUERIES | rule_queries.QUERIES | extract_queries.QUERIES
+ORACLES = queries.ORACLES | rule_queries.ORACLES | extract_queries.ORACLES
 
 
 def plain(x):
@@ -52,6 +53,9 @@ def test_near_pairs_against_all_pairs(spark):
     want = want.where(F.col("told").isNotNull() & (F.col("similarity") >= NEAR_ADDRESS))
     got = near_pairs(df)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect())) != []
+    per = df.where("packet_id is not null").groupBy("packet_id").agg(F.array_sort(F.collect_set("address")).alias("own"))
+    inside = per.select("packet_id", F.inline(near_within(F.col("own"))))
+    assert sorted(map(tuple, inside.collect())) == sorted(tuple(x) for x in got.select("packet_id", "a", "b", "told").distinct().collect())
     # The join sees one token's alternatives, never all addresses of a packet.
     assert "rest" in got._jdf.queryExecution().optimizedPlan().toString()
 
