@@ -4,8 +4,9 @@ A single short line is often common, a run of lines rarely is. So the key of a l
 shortest run of lines from it, and to it, with ``least_words`` words: two documents share such a block
 exactly if they share the keys of its lines. Documents that share a key are paired with its first
 holder (a star, so pairs grow with the shared keys and not with their square). Each pair is aligned by
-patience diff over its line hashes; blocks that repeat or moved, which it leaves, are matched by their
-runs. Common blocks of at least ``least_words`` words go from the later document.
+patience diff over its line hashes, and what that leaves is aligned by patience again, over the runs that
+both still share, until no common block is left: moved blocks come in a later round. Aligned blocks of at
+least ``least_words`` words go from the later document; nothing else does.
 """
 
 from __future__ import annotations
@@ -76,11 +77,29 @@ def shortest_runs(words: list[int], least_words: int) -> set[tuple[int, int]]:
     return {(i, int(e)) for i, e in enumerate(stop) if e <= n} | {(int(i), e + 1) for e, i in enumerate(start) if i >= 0}
 
 
+def _shared_runs(a: list, b: list, words: list[int], least_words: int) -> tuple[list[tuple], dict[tuple, list[tuple[int, int]]]]:
+    """Shortest runs that both hold: in the order of their first places in ``a``, and all their places in ``b``."""
+    known, ours, at = dict(zip(b, words, strict=True)), {}, 0
+    for k in range(len(a) + 1):  # equal lines have equally many words, and lines of one side only end a run
+        if k == len(a) or a[k] not in known:
+            part = a[at:k]
+            for i, e in sorted(shortest_runs([known[x] for x in part], least_words)):
+                ours.setdefault(tuple(part[i:e]), None)
+            at = k + 1
+    places: dict[tuple, list[tuple[int, int]]] = {}
+    for i, e in sorted(shortest_runs(words, least_words)):
+        if (run := tuple(b[i:e])) in ours:
+            places.setdefault(run, []).append((i, e))
+    return [run for run in ours if run in places], places
+
+
 def common_lines(a: list, b: list, words: list[int], least_words: int) -> list[int]:
-    """Positions in ``b`` of blocks (adjacent in both) with at least ``least_words`` words.
+    """Positions in ``b`` of aligned blocks with at least ``least_words`` words.
 
-    Patience aligns what stands once and in order. What it leaves, repeated or moved blocks, is matched
-    by the shortest runs: a block of enough words is covered by those it holds.
+    First the lines are aligned. Then, as long as ``b`` has runs left that ``a`` holds, those are aligned,
+    each by its first places: in the order of both or, if that aligns more, in opposite order. A run that is
+    aligned goes from all its places. Of n runs, one of the two orders aligns the root of n at least, so the
+    rounds are few.
     """
     gone, block = set(), []
     for i, j in [*patience(a, b), (-9, -9)]:
@@ -92,16 +111,19 @@ def common_lines(a: list, b: list, words: list[int], least_words: int) -> list[i
     held = set(a)
     if all(j in gone or x not in held for j, x in enumerate(b)):
         return sorted(gone)
-    # Equal lines have equally many words, and lines of one side only end a run.
-    known, runs, at = dict(zip(b, words, strict=True)), set(), 0
-    for k in range(len(a) + 1):
-        if k == len(a) or a[k] not in known:
-            part = a[at:k]
-            runs |= {tuple(part[i:e]) for i, e in shortest_runs([known[x] for x in part], least_words)}
-            at = k + 1
-    for i, e in shortest_runs(words, least_words):
-        if tuple(b[i:e]) in runs:
-            gone.update(range(i, e))
+    order, places = _shared_runs(a, b, words, least_words)
+    left = lambda runs: [run for run in runs if any(y not in gone for i, e in places[run] for y in range(i, e))]
+    ours, theirs = left(order), left(places)
+    while ours:
+        turned = theirs[::-1]
+        aligned = {theirs[j] for _, j in patience(ours, theirs)}
+        other = {turned[j] for _, j in patience(ours, turned)}
+        aligned = aligned if len(aligned) >= len(other) else other
+        if not aligned:
+            break
+        for run in aligned:
+            gone.update(y for i, e in places[run] for y in range(i, e))
+        ours, theirs = left(ours), left(theirs)
     return sorted(gone)
 
 

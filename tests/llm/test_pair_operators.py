@@ -169,6 +169,25 @@ def test_common_lines_against_brute_force():
         assert line_dedup.common_lines(a, b, words, least) == covered(a, b, words, least)
 
 
+def test_nothing_goes_without_alignment(monkeypatch):
+    a, least = list(range(40)), 20
+    for b in (a, a[20:] + a[:20], a[::-1], a[5:25] * 3):
+        words = [20] * len(b)
+        assert line_dedup.common_lines(a, b, words, least) == list(range(len(b)))
+    monkeypatch.setattr(line_dedup, "patience", lambda a, b: [])
+    for b in (a, a[20:] + a[:20], a[::-1], a[5:25] * 3):
+        assert line_dedup.common_lines(a, b, [20] * len(b), least) == []
+
+
+def test_rounds_of_alignment_are_few(monkeypatch):
+    r, n, calls, plain = random.Random(3), 2500, [], line_dedup.patience
+    monkeypatch.setattr(line_dedup, "patience", lambda a, b: calls.append(1) or plain(a, b))
+    for b in (list(range(n))[::-1], r.sample(range(n), n), [k ^ 1 for k in range(n)], [5] * n):
+        calls.clear()
+        assert line_dedup.common_lines(list(range(n)), b, [20] * n, 20) == list(range(n))
+        assert len(calls) <= 1 + 4 * n**0.5
+
+
 def test_line_dedup_of_repeated_and_swapped_passages(spark):
     r = random.Random(11)
     pool = [" ".join(f"p{k}w{j}" for j in range(n)) for k, n in enumerate((50, 12, 12, 30, 9, 7))]

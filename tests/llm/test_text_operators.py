@@ -71,6 +71,37 @@ def test_license_places_are_verified(spark):
     assert got[1] == ("mit", 1.0) and got[2] == ("", 0.0) and got[3] == ("cc-by-nc", 1.0) and got[4] == ("", 0.0)
 
 
+#: Notices, headers and bodies as they stand in files, each with the labels it must get.
+LICENCE_TEXTS = [
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction. The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED."),
+    ("apache", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND."),
+    ("mpl", "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/ Software distributed under the License is distributed on an \"AS IS\" basis, WITHOUT WARRANTY OF ANY KIND, either express or implied."),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("boost", "Boost Software License - Version 1.0. Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES."),
+    ("0bsd", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES."),
+    ("bsd", "Copyright (c) 2001. All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose."),
+    ("postgresql", "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice appear in all copies."),
+    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY."),
+    ("gpl,lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation."),  # gpl: the base phrase
+    ("agpl,gpl", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("cc0", "The person who associated a work with this deed has waived all copyright and related or neighboring rights to this work."),
+    ("cc-by-sa", "This work is licensed under CC BY-SA 4.0"),
+    ("cc-by", "This work is licensed under CC BY 4.0"),
+    ("wtfpl", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE Everyone is permitted to copy and distribute verbatim or modified copies of this license document."),
+    ("ofl", "This Font Software is licensed under the SIL Open Font License, Version 1.1. All rights reserved."),
+    ("", "All rights reserved. Provided as is, without warranty of any kind. You may not use this file except in compliance with the license."),
+]
+
+
+def test_licence_texts_get_their_own_label_only(spark):
+    df = spark.createDataFrame([(k, f"/* {t} */\nimport x") for k, (_, t) in enumerate(LICENCE_TEXTS)], "doc_id long, text string")
+    got = {x.doc_id: x.labels for x in licenses.scan(df).collect()}
+    assert {k: got[k] for k in got} == {k: label for k, (label, _) in enumerate(LICENCE_TEXTS)}
+
+
 def test_every_license_of_a_file(spark):
     notices = [(label, notice) for label, notice, _ in licenses.TEMPLATES]
     r = np.random.default_rng(4)
@@ -220,7 +251,7 @@ def test_decontamination_against_all_windows(spark):
     items = [(k, " ".join(f"i{k}w{j % (9 if k == 5 else 999)}" for j in range(n))) for k, n in enumerate((60, 40, 40, 120, 12, 45, 3, 60))]
     items[7] = (7, items[0][1].replace("i0w30", "swapped"))
     rows = []
-    for n in range(160):
+    for n in range(200):
         text = " ".join(f"own{r.integers(400)}" for _ in range(r.integers(0, 120))).split()
         for _ in range(r.integers(0, 3)):
             words = items[r.integers(len(items))][1].split()
