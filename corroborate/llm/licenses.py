@@ -22,7 +22,8 @@ from corroborate.llm.common import LOWER, UPPER, materialize
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: phrase, label
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
-#: label, notice, mandatory key phrase within it
+#: label, notice, mandatory key phrase within it. A key phrase stands in the texts of that licence alone:
+#: what several licences say in the same words (warranty clauses, use in compliance with the license) is no key.
 TEMPLATES = [
     ("mit", "released under the mit license", "mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "hereby granted free of charge to any person obtaining a copy of this software"),
@@ -33,7 +34,8 @@ TEMPLATES = [
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
     ("mpl", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     ("epl", "made available under the terms of the eclipse public license", "eclipse public license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee", "copy modify and or distribute this software"),
+    ("isc", "for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("0bsd", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is", "with or without fee is hereby granted the software is provided as is"),
     ("boost", "distributed under the boost software license version 1 0", "boost software license"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
     ("cc-by", "licensed under cc by 4 0", "cc by 4 0"),
@@ -42,10 +44,15 @@ TEMPLATES = [
     ("cc-by-nd", "licensed under cc by nd 4 0", "cc by nd 4 0"),
     ("cc-by", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
     ("cc0", "released into the public domain under cc0 1 0", "cc0 1 0"),
-    ("reserved", "all rights reserved", "all rights reserved"),
+    ("wtfpl", "do what the fuck you want to public license", "do what the fuck you want to"),
+    ("eupl", "licensed under the european union public licence", "european union public licence"),
+    ("cddl", "under the terms of the common development and distribution license", "common development and distribution license"),
+    ("ms-pl", "licensed under the microsoft public license", "microsoft public license"),
+    ("ofl", "licensed under the sil open font license version 1 1", "sil open font license"),
+    ("gfdl", "under the terms of the gnu free documentation license", "gnu free documentation license"),
     # Sentences from the bodies of the licences and from their file headers.
-    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability", "the software is provided as is without warranty of any kind"),
-    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at", "use this file except in compliance with the license"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "agreed to in writing software distributed under the license"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gnu general public license as published by the free software foundation"),
     ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "this library is free software you can redistribute it"),
     ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "used to endorse or promote products derived from this software"),
