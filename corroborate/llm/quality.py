@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corroborate.llm.common import SPACE, materialize, words_of
+from corroborate.llm.common import SPACE, join_counted, materialize, words_of
 
 #: A window of this many words counts as repeated when the text holds it twice or more.
 WINDOW = 5
@@ -65,15 +65,16 @@ def figures(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
 
 
 def frequent_lines(lined: DataFrame, least_docs: int, share: float) -> DataFrame:
-    """(host, h) of lines in more distinct documents of a host than ``least_docs`` and ``share`` of them.
+    """(host, h, rows): lines in more distinct documents of a host than ``least_docs`` and ``share`` of them.
 
-    Equal texts count as one document. The count is a grouped sum with partial aggregation.
+    Equal texts count as one document; ``rows`` counts them all. The count is a grouped sum with partial
+    aggregation.
     """
-    texts = lined.dropDuplicates(["host", "text_key"])
+    texts = lined.groupBy("host", "text_key").agg(F.first("lines").alias("lines"), F.count("*").alias("copies"))
     hosts = texts.groupBy("host").agg(F.count("*").alias("docs"))
-    lines = texts.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    counts = lines.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > least_docs)
-    return counts.join(hosts, "host").where(F.col("n") > F.col("docs") * share).select("host", "h")
+    lines = texts.select("host", "copies", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    counts = lines.groupBy("host", "h").agg(F.count("*").alias("n"), F.sum("copies").alias("rows")).where(F.col("n") > least_docs)
+    return counts.join(hosts, "host").where(F.col("n") > F.col("docs") * share).select("host", "h", "rows")
 
 
 def judge(
@@ -97,9 +98,9 @@ def judge(
     own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("\x00")).alias("host"), F.col(text).alias("text"))
     seen = figures(own, "text", ("doc_id", "host")).withColumn("row", F.monotonically_increasing_id())
     seen = materialize(seen, "quality")
-    common = frequent_lines(seen, least_docs, share)
+    common = materialize(frequent_lines(seen, least_docs, share), "common_lines")
     lines = seen.select("row", "host", F.explode("lines").alias("l")).select("row", "host", F.col("l.h").alias("h"), F.col("l.n").alias("n"))
-    gone = lines.join(common, ["host", "h"]).groupBy("row").agg(F.sum("n").cast("long").alias("n_removed_words"))
+    gone = join_counted(lines, common, ["host", "h"], "rows").groupBy("row").agg(F.sum("n").cast("long").alias("n_removed_words"))
     out = seen.join(gone, "row", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
     left = F.col("n_words") - F.col("n_removed_words")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
