@@ -7,15 +7,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corroborate.functions import normalize as N
+from corroborate.sources.shared import materialize
 
 
 def neighbours(rows: DataFrame, key: str, order: list[str], within: list[str] | None = None) -> DataFrame:
     """``rows`` with ``previous`` and ``next``: the ``key`` of the rows beside, null at the ends.
 
-    Without ``within`` all rows are one sequence, which a list of packets is; else each group is one.
+    With ``within`` each group is a sequence. Without it all rows are one: they are dealt into ranges, each
+    range is ordered for itself, and its first and last row meet those of the ranges beside, one row a range.
+    Rows of equal order go by ``key``.
     """
-    beside = Window.partitionBy(*(within or [F.lit(0)])).orderBy(*order)
-    return rows.withColumns({"previous": F.lag(key).over(beside), "next": F.lead(key).over(beside)})
+    if within:
+        beside = Window.partitionBy(*within).orderBy(*order)
+        return rows.withColumns({"previous": F.lag(key).over(beside), "next": F.lead(key).over(beside)})
+    own = [*order, key] if key not in order else order
+    dealt = materialize(rows.repartitionByRange(*own).withColumn("_range", F.spark_partition_id()), "ranges")
+    beside = Window.partitionBy("_range").orderBy(*own)
+    inner = dealt.withColumns({"previous": F.lag(key).over(beside), "next": F.lead(key).over(beside), "_n": F.row_number().over(beside), "_left": F.count("*").over(Window.partitionBy("_range"))})
+    place = F.struct(*own, F.struct(key).alias("_key"))
+    ends = dealt.groupBy("_range").agg(F.min(place)["_key"][key].alias("first"), F.max(place)["_key"][key].alias("last"))
+    ends = ends.agg(F.sort_array(F.collect_list(F.struct("_range", "first", "last"))).alias("e"))  # one entry a range
+    beyond = F.transform("e", lambda x, i: F.struct(x["_range"].alias("_range"), F.get("e", i - 1)["last"].alias("_before"), F.get("e", i + 1)["first"].alias("_after")))
+    out = inner.join(F.broadcast(ends.select(F.inline(beyond))), "_range")
+    out = out.withColumns({"previous": F.when(F.col("_n") == 1, F.col("_before")).otherwise(F.col("previous")), "next": F.when(F.col("_n") == F.col("_left"), F.col("_after")).otherwise(F.col("next"))})
+    return out.select(*rows.columns, "previous", "next")
 
 
 def packet_counts(packets: DataFrame, findings: DataFrame, decisions: DataFrame) -> DataFrame:

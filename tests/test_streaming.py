@@ -1,31 +1,63 @@
 """Streams, other engines and model adjudication over generated packets."""
 
+import random
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from corroborate.operators import adjudicate as A
+from corroborate.operators import classify as C
 from corroborate.operators import extract as X
 from corroborate.operators import link as L
 from corroborate.operators import review as R
 from corroborate.sources import packets as K
 from corroborate.sources import runs
+from corroborate.sources.review_log import ReviewLog
 from corroborate.streaming import evidence as E
 
 
-def test_stream_of_documents(spark, tmp_path):
+@pytest.fixture
+def state_store(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, E.STATE_STORE)
+    yield
+    spark.conf.set(key, before)
+
+
+def shown(rows):
+    """Findings without the numbers that count facts of a document in a stream and of a packet in a batch."""
+    evidence = lambda r: [{k: v for k, v in f.asDict(True).items() if k != "fact_seq"} for f in r.evidence]
+    return {(r.packet_id, r.group_key): (r.classification, r.confidence, r.rationale, r.signals, evidence(r), r.superseded_by, r.label) for r in rows}
+
+
+def test_findings_of_any_arrival(spark, tmp_path, state_store):
+    """Documents in any order and batches, some again: the last findings are those of the batch engine, and only touched groups are emitted."""
     _, docs, _ = K.generated(spark, 1)
-    one = docs.where("packet_id = 'GP-061'")
-    src, seen = str(tmp_path / "in"), []
-    batch = E.refresh(spark, str(tmp_path / "facts"), lambda found, n: seen.append({r.group_key: r.classification for r in found.collect()}))
-    for part in ("doc_pos <= 1", "doc_pos > 1"):
-        one.where(part).coalesce(1).write.mode("append").parquet(src)
-        q = spark.readStream.schema(docs.schema).parquet(src).writeStream.foreachBatch(batch).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-        q.awaitTermination(120)
-    assert seen[0]["policy::stated_vehicle_count"] == "consistent"
-    assert seen[-1]["policy::stated_vehicle_count"] == "supersession"
-    assert E.windowed_arrivals(one).count() > 0
+    docs = docs.where("packet_id in ('GP-041', 'GP-061', 'GP-091')").unionByName(K.known_failures(spark)[1])
+    facts = X.extract(docs).facts
+    want = shown(C.classify(L.groups(facts), C.document_marks(facts)).collect())
+    rows = docs.collect()
+    random.Random(5).shuffle(rows)
+    parts = [rows[:3], rows[3:4], rows[2:9], rows[9:]]
+    seen, emitted = {}, []
+
+    def take(found, _):
+        got = found.collect()
+        emitted.append({(r.packet_id, r.group_key) for r in got})
+        assert len(emitted[-1]) == len(got)
+        seen.update(shown(got))
+
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, docs.schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = E.adjudicate(spark.readStream.schema(docs.schema).parquet(f"{tmp_path}/in"))
+        q = stream.writeStream.foreachBatch(take).outputMode("update").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        assert q.awaitTermination(240)
+    assert seen == want and len(want) > 40
+    groups = {d: {(f.packet_id, f"{f.entity_key}::{f.field}") for f in facts.collect() if f.document_id == d} for d in {r.doc_id for r in rows}}
+    assert [x for x in emitted if x] == [y for y in ({g for r in p if r not in before for g in groups.get(r.doc_id, ())} & set(want) for p, before in ((p, [r for q in parts[:k] for r in q]) for k, p in enumerate(parts))) if y]
+    assert E.windowed_arrivals(docs).count() > 0
 
 
 def test_model_engine_and_borrowed_evidence(spark):
@@ -41,12 +73,73 @@ def test_model_engine_and_borrowed_evidence(spark):
     assert '"engineLabel":"x"' in text and "policy::unknown" in text
 
 
-def test_review_log_by_batches(spark, tmp_path):
-    row = lambda g, v, minute: (None, "A", g, "reference", "c", v, "because of x", "x", datetime(2025, 1, 1, 0, minute))
-    batch, path = E.review_upserts(spark, str(tmp_path)), str(tmp_path)
-    batch(spark.createDataFrame([row("a", "accept", 0), row("b", "accept", 1)], R.SCHEMA), 0)
-    for _ in range(2):  # a batch that is run again writes its version anew
-        batch(spark.createDataFrame([row("a", "reject", 2)], R.SCHEMA), 1)
-    assert {r.group_key: r.verdict for r in runs.read_reviews(spark, f"{path}/v1").collect()} == {"a": "reject", "b": "accept"}
-    with pytest.raises(FileNotFoundError, match="v2"):
-        batch(spark.createDataFrame([row("a", "accept", 3)], R.SCHEMA), 3)
+def row(group, verdict, minute, packet="A", reviewer="x", reason="because of x"):
+    return (None, packet, group, "reference", "c", verdict, reason, reviewer, datetime(2025, 1, 1, 0, minute))
+
+
+def held(df):
+    return {(r.packet_id, r.group_key, r.reviewer): r.verdict for r in df.collect()}
+
+
+def test_review_log(spark, tmp_path):
+    log = ReviewLog(spark, str(tmp_path / "log"), buckets=8)
+    made = lambda *rows: spark.createDataFrame(list(rows), R.SCHEMA)
+    assert log.read().count() == 0 and log.decisions_for("A").count() == 0 and log.manifest().version == 0
+    log.upsert(made(row("a", "accept", 0), row("b", "accept", 1), row("c", "accept", 1, reason="short"), *[row("a", "accept", 2, packet=f"P{k}") for k in range(20)]))
+    first = log.manifest()
+    # Of equal times the later write stands; an older decision changes nothing.
+    log.upsert(made(row("a", "reject", 0), row("b", "reject", 0), row("b", "accept", 5, reviewer="y")))
+    want = {("A", "a", "x"): "reject", ("A", "b", "x"): "accept", ("A", "b", "y"): "accept"}
+    assert held(log.decisions_for("A")) == want and held(log.read()) == want | {(f"P{k}", "a", "x"): "accept" for k in range(20)}
+    assert held(log.read()) == held(R.upsert(R.upsert(made(), made(row("a", "accept", 0), row("b", "accept", 1), *[row("a", "accept", 2, packet=f"P{k}") for k in range(20)])), made(row("a", "reject", 0), row("b", "reject", 0), row("b", "accept", 5, reviewer="y"))))
+    assert held(log.read(first))[("A", "a", "x")] == "accept"
+    # A write holds its own buckets, a lookup reads one.
+    (_, all_buckets), (_, own) = log.manifest().segments
+    assert len(own) == 1 and len(all_buckets) > 4
+    files = log.decisions_for("A").inputFiles()
+    assert files and all(f"bucket={own[0]}/" in f for f in files) and len(log.read().inputFiles()) > len(files)
+
+
+def test_review_log_survives_a_crash_and_other_writers(spark, tmp_path, monkeypatch):
+    log, other = ReviewLog(spark, str(tmp_path / "log"), 4), ReviewLog(spark, str(tmp_path / "log"), 4)
+    made = lambda *rows: spark.createDataFrame(list(rows), R.SCHEMA)
+    log.upsert(made(row("a", "accept", 0)))
+    with monkeypatch.context() as m:  # a crash after the segment is written
+        m.setattr(ReviewLog, "_commit", lambda *_: (_ for _ in ()).throw(RuntimeError("gone")))
+        with pytest.raises(RuntimeError):
+            log.upsert(made(row("a", "reject", 1)), "s", 0)
+    assert held(log.read()) == {("A", "a", "x"): "accept"}
+    log.upsert(made(row("a", "reject", 1)), "s", 0)  # the batch is run again
+    assert held(log.read()) == {("A", "a", "x"): "reject"}
+    version = log.manifest().version
+    assert log.upsert(made(row("a", "accept", 9)), "s", 0).version == version  # and once more: nothing
+    # Another writer takes the version between our reading and our commit.
+    plain, raced = ReviewLog._commit, []
+
+    def late(self, m):
+        if not raced:
+            raced.append(1)
+            other.upsert(made(row("b", "accept", 3)))
+        return plain(self, m)
+
+    monkeypatch.setattr(ReviewLog, "_commit", late)
+    log.upsert(made(row("c", "accept", 4)))
+    assert held(log.read()) == {("A", "a", "x"): "reject", ("A", "b", "x"): "accept", ("A", "c", "x"): "accept"} and log.manifest().version == version + 2
+
+
+def test_review_log_compacts_and_clears(spark, tmp_path):
+    log = ReviewLog(spark, str(tmp_path / "log"), 4)
+    made = lambda *rows: spark.createDataFrame(list(rows), R.SCHEMA)
+    for k in range(5):
+        log.upsert(made(row("a", ["accept", "reject"][k % 2], k), row(f"g{k}", "accept", k)))
+    log.upsert(made(*[row("z", "accept", 0, packet=f"P{k}") for k in range(9)]))
+    before = held(log.read())
+    log.compact(most=4)
+    assert held(log.read()) == before and len(log.manifest().segments) == 2 and log.compact(most=4).version == log.manifest().version
+    assert len(log.vacuum()) == 5 and held(log.read()) == before
+    log.clear()
+    assert log.read().count() == 0 and len(log.vacuum()) == 2
+    batch = E.review_upserts(spark, str(tmp_path / "log"))
+    for _ in range(2):
+        batch(made(row("a", "accept", 0)), 0)
+    assert held(log.read()) == {("A", "a", "x"): "accept"} and len(log.manifest().segments) == 1
