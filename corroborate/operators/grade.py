@@ -157,6 +157,59 @@ def case_rollup(graded: DataFrame, cases: DataFrame, packets: DataFrame) -> Data
     return out.withColumn("passed", (F.col("declared") > 0) & (F.col("declared") == F.col("correct")) & (F.col("false_conflicts") == 0) & (F.col("noise") == 0))
 
 
+#: What the rollups count of graded rows; ``_hit`` counts packets.
+TALLIES = ["graded", "declared", "correct", "caught", "missed", "false_conflicts", "noise", "dropped", "droppable", "reported", "conflicts", "not_conflict", "hard_rows", "hard_false", "hard_hit", "true_hit"]
+
+
+def rollups(graded: DataFrame, packets: DataFrame) -> DataFrame:
+    """The figures of every level in one pass over ``graded``: level, packet_id, taxonomy_case, bucket, packets and TALLIES.
+
+    Rows are counted per packet first, so that distinct packets are plain sums above; then grouping sets give
+    the levels packet, case, bucket and all. ``packets`` (packet_id, bucket, taxonomy_case) gives the
+    denominators, graded or not; packet_ids hold the packets of a case.
+    """
+    o, hard, true = F.col("outcome"), F.col("bucket") == "hard_negative", F.col("bucket") == "true_conflict"
+    per = graded.groupBy("packet_id").agg(
+        *_tallies(), F.count("*").alias("graded"), _count(o == "dropped").alias("dropped"), _count(F.col("declared") & (F.col("expected") != "consistent")).alias("droppable"),
+        _count(F.col("expected") == "conflict").alias("conflicts"), _count(F.col("expected") != "conflict").alias("not_conflict"),
+    )
+    rows = packets.select("packet_id", "bucket", "taxonomy_case").join(per, "packet_id", "left").fillna(0, [c for c in TALLIES if c in per.columns])
+    flag = lambda test: F.when(test, 1).otherwise(0).cast("bigint")
+    rows = rows.withColumns({"hard_rows": flag(hard) * F.col("graded"), "hard_false": flag(hard) * F.col("false_conflicts"), "hard_hit": flag(hard & (F.col("false_conflicts") > 0)), "true_hit": flag(true & (F.col("caught") > 0)), "hard": flag(hard), "true": flag(true)})
+    levels = [["packet_id", "taxonomy_case", "bucket"], ["taxonomy_case"], ["bucket"], []]
+    ids = F.when(F.grouping("taxonomy_case") == 0, F.array_sort(F.collect_list(F.col("own"))))
+    level = F.when(F.grouping("packet_id") == 0, "packet").when(F.grouping("taxonomy_case") == 0, "case").when(F.grouping("bucket") == 0, "bucket").otherwise("all")
+    out = rows.withColumn("own", F.col("packet_id")).groupingSets([[F.col(c) for c in x] for x in levels], "packet_id", "taxonomy_case", "bucket")
+    return out.agg(level.alias("level"), F.count("*").alias("packets"), F.coalesce(F.sum("hard"), F.lit(0)).alias("hard"), F.coalesce(F.sum("true"), F.lit(0)).alias("true"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in TALLIES], ids.alias("packet_ids"))
+
+
+def headline_of(rolled: DataFrame) -> DataFrame:
+    """The row of ``headline`` from ``rollups``."""
+    c = F.col
+    return rolled.where("level = 'all'").select(
+        "graded", "reported", F.coalesce(F.try_divide("reported", "packets"), F.lit(0.0)).alias("review_load"),
+        rate(c("hard_hit"), c("hard")).alias("hard_negative_packet_fpr"), rate(c("hard_false"), c("hard_rows")).alias("hard_negative_group_fpr"), rate(c("false_conflicts"), c("not_conflict")).alias("false_conflict_rate"),
+        rate(c("caught"), c("conflicts")).alias("conflict_recall"), rate(c("true_hit"), c("true")).alias("conflict_packet_recall"), rate(c("correct"), c("declared")).alias("label_accuracy"),
+        rate(c("noise"), c("graded") - c("declared")).alias("noise_rate"), rate(c("dropped"), c("droppable")).alias("drop_rate"),
+    )
+
+
+_SHOWN = ["declared", "correct", "caught", "missed", "false_conflicts", "noise", "reported"]
+
+
+def packets_of(rolled: DataFrame) -> DataFrame:
+    """The rows of ``packet_rollup`` from ``rollups``."""
+    out = rolled.where("level = 'packet'").select("packet_id", "bucket", "taxonomy_case", *_SHOWN)
+    return out.withColumn("passed", (F.col("declared") == F.col("correct")) & (F.col("false_conflicts") == 0) & (F.col("noise") == 0))
+
+
+def cases_of(rolled: DataFrame, cases: DataFrame) -> DataFrame:
+    """The rows of ``case_rollup`` from ``rollups``."""
+    got = rolled.where("level = 'case'").select("taxonomy_case", *_SHOWN, F.col("packet_ids").alias("packets"))
+    out = cases.select(F.col("id").alias("taxonomy_case"), "bucket", "name").join(got, "taxonomy_case", "left").fillna(0, _SHOWN)
+    return out.withColumn("passed", (F.col("declared") > 0) & (F.col("declared") == F.col("correct")) & (F.col("false_conflicts") == 0) & (F.col("noise") == 0))
+
+
 def engine_delta(a: DataFrame, b: DataFrame) -> DataFrame:
     """What one engine's graded rows have over the other's: (kind, item) for caught and false conflicts."""
     item = F.concat("packet_id", F.lit(" · "), "label").alias("item")

@@ -62,9 +62,15 @@ class Score:
 
 
 def score(packets: DataFrame, labels: DataFrame, findings: DataFrame, cases: DataFrame) -> Score:
-    graded = G.grade(packets, labels, findings)
-    shown = graded.where(G.reported(F.col("outcome")))
-    return Score(graded, G.headline(graded, packets), G.confusion(graded), G.calibration(shown), G.packet_rollup(graded, packets), G.case_rollup(graded, cases, packets))
+    """All figures of an engine; the graded rows are written once, and one pass over them feeds all rollups."""
+    graded = materialize(G.grade(packets, labels, findings), "graded")
+    shown, rolled = graded.where(G.reported(F.col("outcome"))), materialize(G.rollups(graded, packets), "rollups")
+    return Score(graded, G.headline_of(rolled), G.confusion(graded), G.calibration(shown), G.packets_of(rolled), G.cases_of(rolled, cases))
+
+
+def exit_status(*scores: Score) -> int:
+    """What a command that reports scores should end with: 1 if a taxonomy case fails in any of them, else 0."""
+    return int(any(not s.cases.where(~F.col("passed")).isEmpty() for s in scores))
 
 
 @dataclass(frozen=True)
@@ -73,14 +79,15 @@ class Bench:
     control: Score
     delta: DataFrame
     human: DataFrame
+    human_control: DataFrame
 
 
 def bench(packets: DataFrame, documents: DataFrame, labels: DataFrame, cases: DataFrame, decisions: DataFrame) -> Bench:
-    """Both engines on the same extraction, their scores and what sets them apart."""
+    """Both engines on the same extraction, their scores and what sets them apart; decisions count for the engine they judge."""
     analysis = analyze(documents)
     a = score(packets, labels, analysis.findings, cases)
     b = score(packets, labels, analyze_naive(analysis), cases)
-    return Bench(a, b, G.engine_delta(a.graded, b.graded), R.agreement(decisions.where("engine = 'reference'")))
+    return Bench(a, b, G.engine_delta(a.graded, b.graded), R.agreement(decisions.where("engine = 'reference'")), R.agreement(decisions.where("engine = 'naive'")))
 
 
 @dataclass(frozen=True)

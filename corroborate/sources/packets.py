@@ -7,9 +7,11 @@ wording and numbers are made up here.
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,14 +144,36 @@ def build(case: int, variant: int) -> Packet:
     return p
 
 
-def generated(spark: SparkSession, variants: int = 6) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(packets, documents, labels) of all ten cases, ``variants`` each."""
-    made = [build(c, v) for c, *_ in TAXONOMY for v in range(1, variants + 1)]
-    bucket = {c: b for c, b, *_ in TAXONOMY}
-    packets = [(p.id, k, f"Case {p.case}, variant {p.variant}", f"Carrier {p.id}", p.case, bucket[p.case], "made up", p.focus, "planted") for k, p in enumerate(made)]
-    docs = [(p.id, k, f"{p.id}-D{k}", kind, title, at, text) for p in made for k, (kind, title, at, text) in enumerate(p.docs)]
-    labels = [(p.id, k, v) for p in made for k, v in p.labels.items()]
-    return spark.createDataFrame(packets, PACKETS), spark.createDataFrame(docs, DOCUMENTS), spark.createDataFrame(labels, LABELS)
+def _rows(kind: str, number: int) -> list[tuple]:
+    """The rows of a table that packet ``number`` (from 0) gives: ten cases to each variant."""
+    case, bucket, *_ = TAXONOMY[number % len(TAXONOMY)]
+    p = build(case, number // len(TAXONOMY) + 1)
+    if kind == "packets":
+        return [(p.id, number, f"Case {p.case}, variant {p.variant}", f"Carrier {p.id}", p.case, bucket, "made up", p.focus, "planted")]
+    if kind == "documents":
+        return [(p.id, k, f"{p.id}-D{k}", kind_, title, at, text) for k, (kind_, title, at, text) in enumerate(p.docs)]
+    return [(p.id, k, v) for k, v in p.labels.items()]
+
+
+def generated(spark: SparkSession, variants: int = 6, partitions: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(packets, documents, labels) of all ten cases, ``variants`` each, made in the tasks that read them.
+
+    A packet's text follows from its number alone, so it is the same under any partitioning.
+    """
+
+    def table(kind: str, schema: str) -> DataFrame:
+        names = [c.split()[0] for c in schema.split(", ")]
+
+        def make(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for ids in parts:
+                for at in range(0, len(ids), 500):
+                    rows = [r for n in ids["id"][at : at + 500] for r in _rows(kind, int(n))]
+                    yield pd.DataFrame(rows, columns=names)
+
+        numbers = spark.range(0, variants * len(TAXONOMY), 1, partitions or max(1, min(1000, variants // 10)))
+        return numbers.mapInPandas(make, schema)
+
+    return table("packets", PACKETS), table("documents", DOCUMENTS), table("labels", LABELS)
 
 
 def known_failures(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:

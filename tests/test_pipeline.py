@@ -199,3 +199,31 @@ def test_packet_state_is_dealt_once(spark, analysis):
     own = lambda p: F.when(F.size(p.tables) > 1, U.finding("two_tables", F.lit("benign_variant"), F.array(C.signal("tables.several", 0.5)), F.lit("several tables"), p.evidence("stated_vehicle_count")))
     got = U.derive(state, [own]).collect()
     assert {r.packet_id for r in got} == {"GP-091"} and got[0].confidence == 0.5 and got[0].group_key == "policy::two_tables"
+
+
+def test_rollups_in_one_pass(spark, corpus, analysis):
+    packets, _, labels = corpus
+    more = packets.unionByName(packets.limit(1).withColumns({"packet_id": F.lit("ungraded"), "taxonomy_case": F.lit(99)}))
+    for findings in (analysis.findings, P.analyze_naive(analysis), analysis.findings.limit(0)):
+        graded, cases = G.grade(packets, labels, findings), K.taxonomy(spark)
+        rolled = G.rollups(graded, more)
+        rows = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+        assert rows(G.headline_of(rolled)) == rows(G.headline(graded, more))
+        assert rows(G.packets_of(rolled)) == rows(G.packet_rollup(graded, more))
+        assert rows(G.cases_of(rolled, cases)) == rows(G.case_rollup(graded, cases, more))
+        by = {r.bucket: r.packets for r in rolled.where("level = 'bucket'").collect()}
+        assert sum(by.values()) == more.count() and "count(distinct" not in rolled._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_exit_status(spark, corpus, analysis):
+    packets, _, labels = corpus
+    good, bad = (P.score(packets, labels, f, K.taxonomy(spark)) for f in (analysis.findings, P.analyze_naive(analysis)))
+    assert P.exit_status(good) == 0 and P.exit_status(good, bad) == 1
+
+
+def test_generator_under_any_partitioning(spark):
+    one, many = (K.generated(spark, 30, n) for n in (1, 7))
+    for a, b in zip(one, many):
+        rows = sorted(map(str, a.collect()))
+        assert rows == sorted(map(str, b.collect())) and b.rdd.getNumPartitions() == 7
+    assert one[0].count() == 300 and one[0].select("packet_id").distinct().count() == 300

@@ -1,6 +1,8 @@
 """Streams, other engines and model adjudication over generated packets."""
 
+import hashlib
 import random
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -14,6 +16,7 @@ from corroborate.operators import review as R
 from corroborate.sources import packets as K
 from corroborate.sources import runs
 from corroborate.sources.review_log import ReviewLog
+from corroborate.sources.shared import materialize
 from corroborate.streaming import evidence as E
 
 
@@ -73,6 +76,55 @@ def test_model_engine_and_borrowed_evidence(spark):
     assert '"engineLabel":"x"' in text and "policy::unknown" in text
 
 
+def test_model_engine_survives_failures(spark, tmp_path):
+    """Slow, failing and partly dead callables: calls are retried, what was answered is asked once."""
+    packets, docs, _ = K.generated(spark, 1)
+    groups = materialize(L.groups(X.extract(docs.where("packet_id in ('GP-041', 'GP-061')")).facts), "groups")
+    seen, store = tmp_path / "asked", str(tmp_path / "replies")
+    seen.mkdir()
+    prompts = {r.p for r in groups.where(F.size("facts") > 1).select(A.prompt().alias("p")).collect()}
+    dead = sorted(prompts)[0]
+
+    def model(prompt, healed=False):
+        name = hashlib.sha256(prompt.encode()).hexdigest()
+        before = len(list(seen.glob(f"{name}-*")))
+        (seen / f"{name}-{before}").touch()
+        if prompt == dead and not healed:
+            raise ConnectionError("no route")
+        if before % 3 < 2 and int(name, 16) % 2:
+            raise TimeoutError("busy")
+        return '{"classification": "conflict", "confidence": 0.9, "reason": "stub"}'
+
+    calls = A.Calls(tasks=2, threads=3, attempts=4, first_wait=0.01, most_wait=0.02, steps=2)
+    with pytest.raises(A.Unanswered, match="no reply for GP-.*; 1 groups are open|no reply for GP-.*; 2 groups are open"):
+        A.adjudicate(groups, model, calls, store)
+    asked = Counter(x.name.split("-")[0] for x in seen.iterdir())
+    dead_name = hashlib.sha256(dead.encode()).hexdigest()
+    assert asked.pop(dead_name) == 4 and set(asked.values()) <= {1, 3} and len(asked) == len(prompts) - 1
+    got = A.adjudicate(groups, lambda p: model(p, True), calls, store)
+    again = Counter(x.name.split("-")[0] for x in seen.iterdir())
+    assert again.pop(dead_name) > 4 and again == asked  # only what was missing is asked
+    assert got.count() == groups.count() and got.where("signals[0] = 'llm.adjudicated'").count() == groups.where(F.size("facts") > 1).count()
+    with pytest.raises(A.Unanswered, match="unusable"):
+        A.adjudicate(groups, lambda p: "no json", A.Calls(tasks=1))
+
+
+def test_waits_grow_up_to_a_cap():
+    waits = []
+    calls = A.Calls(attempts=6, first_wait=1, most_wait=5)
+    fatal = type("Fatal", (Exception,), {"retry": False})
+
+    def fails(kind):
+        def model(prompt):
+            raise kind(prompt)
+        return model
+
+    assert A.with_retries(fails(ValueError), calls, waits.append)("p") == (None, "ValueError: p") and waits == [1, 2, 4, 5, 5]
+    waits.clear()
+    assert A.with_retries(fails(fatal), calls, waits.append)("p")[0] is None and waits == []
+    assert A.with_retries(lambda p: p.upper(), calls, waits.append)("p") == ("P", None)
+
+
 def row(group, verdict, minute, packet="A", reviewer="x", reason="because of x"):
     return (None, packet, group, "reference", "c", verdict, reason, reviewer, datetime(2025, 1, 1, 0, minute))
 
