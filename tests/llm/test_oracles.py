@@ -134,3 +134,22 @@ def test_class_score_against_counts(spark):
         want = sum(step(a, b) + math.log10((seen[x] + 1) / mass[b]) for a, b, x in zip(c, c[1:], w))
         assert got[k] == pytest.approx(want, abs=1e-6)
     assert len(set(kinds.values())) > 3 and any(number[w] >= v.size for w in kinds)
+
+
+def test_long_words_have_numbers_of_their_own(spark):
+    """A rule of dashes in every second text is a word of the head like any other, and is counted exactly."""
+    rule, data = "-" * 90, ["é" * 70 + f"{k}," for k in range(40)]
+    rows = [(k, f"a b {rule if k % 2 else 'c'} {data[k % 40]}\n{'x' * 300 if k == 7 else 'y'}") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n", "2 as tail", "3 as ids").repartition(3)
+    s = brown_lm.Settings(head=8, clustered=4, endings=8, classes=4, sweeps=2, ample=5)
+    train = [t.lower().split() for k, t in rows if zlib.crc32(str(k).encode()) % 7 != 2]
+    seen = Counter(w for ws in train for w in [*ws, ""])
+    texts = spark.createDataFrame([(t,) for k, t in rows if zlib.crc32(str(k).encode()) % 7 != 2], "text string").select(F.col("text").cast("binary"))
+    v, _ = brown_lm.vocabulary(materialize(brown_lm.word_counts(texts), "counts"), s)
+    number = v.lookup()
+    assert number[brown_lm.kept_short([rule.encode()])[0]] < v.size <= 8 and number[rule.encode()] >= v.size
+    total, kinds = seen.total(), len(seen)
+    for r in brown_lm.score(df, s).collect():
+        words = [*rows[r.doc_id][1].lower().split(), ""]
+        assert r.n_known == sum(w in seen for w in words) and r.train_tokens == total and r.n_tokens == len(words)
+        assert r.base_score == pytest.approx(sum(math.log10((seen[w] + 1) / (total + kinds + 1)) for w in words))
