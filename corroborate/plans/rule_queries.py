@@ -70,8 +70,8 @@ LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_qu
 
 
 def _orders_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(l_orderkey, lines): the lines of each order in order, from one scan."""
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*LINE_ORDER))).alias("lines"))
+    """(l_orderkey, lines): the lines of each order in order, from one scan; dealt first, since gathering makes rows no fewer."""
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_ORDER).repartition("l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*LINE_ORDER))).alias("lines"))
 
 
 def said(entity: Column | str, field: str, value: Column, received_at: Column | None = None, change_intent: str | None = None, document_id: str = "d") -> Column:
@@ -210,6 +210,15 @@ def adjudicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("packet_id", "group_key", "classification", "confidence", F.size("evidence").cast("bigint").alias("n"), F.element_at("evidence", -1)["fact_seq"].cast("bigint").alias("last_event"), F.coalesce("superseded_by.document_id", F.lit("")).alias("superseded_by"))
 
 
+def adjudicate_vins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of units (customers as packets, orders as readings) in look-alike glyphs: what the source cannot decide is unresolved."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    written = F.element_at(F.array(*map(F.lit, ["X5A8", "XSA8", "X5AB", "XSAB", "X5C8"])), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    rows = fact(o, "o_custkey", unit(F.col("o_orderkey") % 3), "vin", N.value("vin", written), fact_seq=F.col("o_orderkey"))
+    out = U.observed(U.packets(facts(rows)))
+    return out.select(F.col("packet_id").cast("bigint").alias("o_custkey"), "entity_key", "classification", "confidence", F.size("evidence").cast("bigint").alias("n"))
+
+
 def adjudicate_naive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The control engine over the same readings."""
     out = C.classify_naive(L.groups(_event_facts(spark, sf_dir)))
@@ -281,7 +290,7 @@ def _planted() -> Column:
 QUERIES = {
     f.__name__: f
     for f in (
-        rule_scheduled_value, rule_vehicle_count, rule_vin_uniqueness, rule_loss_history, rule_locations, adjudicate_groups, adjudicate_naive, import_run, review_load, packet_counts, normal_forms, change_verbs,
+        rule_scheduled_value, rule_vehicle_count, rule_vin_uniqueness, rule_loss_history, rule_locations, adjudicate_groups, adjudicate_vins, adjudicate_naive, import_run, review_load, packet_counts, normal_forms, change_verbs,
     )
 }
 
@@ -324,6 +333,9 @@ ORACLES = {
    when 'supersession' then least(cast(0.95 as double), cast(0.55 as double) + q * cast(0.14 as double) + case when names then cast(0.14 as double) else 0 end + case when itemised then cast(0.1 as double) else 0 end)
    else least(cast(0.97 as double), cast(0.45 as double) + case when docs > 1 then cast(0.12 as double) else 0 end + q * cast(0.3 as double)) end as total from c join marks m on m.packet_id = c.packet_id and m.doc = c.last_doc)
  select packet_id, entity_key || '::' || field as group_key, classification, floor(total * 1000 + 0.5) / 1000 as confidence, n, last_event, case when classification = 'supersession' then last_doc else '' end as superseded_by from t""",
+    "adjudicate_vins": """with g as (select o_custkey, 'vehicle:unit-' || o_orderkey % 3 as entity_key, count(*) as n, count(distinct o_orderkey % 5) as canons, bool_or(o_orderkey % 5 = 4) as other from orders group by 1, 2)
+ select o_custkey, entity_key, n, case when canons = 1 then 'consistent' when other then 'conflict' else 'unresolved' end as classification,
+ cast(case when canons > 1 and other then 0.72 when canons > 1 then 0.535 when n > 1 then 0.968 else 0.981 end as double) as confidence from g""",
     "adjudicate_naive": _EVENT_FACTS_SQL
     + """ select packet_id, entity_key || '::' || field as group_key, case when count(distinct raw) > 1 then 'conflict' else 'consistent' end as classification, cast(case when count(distinct raw) > 1 then 0.8 else 0.9 end as double) as confidence from f group by packet_id, entity_key, field""",
     "import_run": """with p as (select cast(c_nationkey as varchar) as packet_id, c_mktsegment as group_key, count(*) as n from customer group by 1, 2)
