@@ -12,10 +12,29 @@ from pyspark.sql.window import Window
 from corroborate.functions.normalize import let
 
 
+#: Sums run over so many parts at a time, so that long texts take few copies of what is summed so far.
+CHUNK = 256
+
+
+def _running(lengths: Column, zero: Column) -> Column:
+    """``zero`` and the running sums of ``lengths`` after it."""
+    return F.aggregate(lengths, F.array(zero), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+
+
+def _sums(lengths: Column) -> Column:
+    """The sum of all lengths before each one."""
+    total = lambda x: F.aggregate(x, F.lit(0), lambda a, n: a + n)
+
+    def chunked(n: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.size(n) - 1, F.lit(CHUNK)), lambda i: F.slice(n, i + 1, CHUNK))
+        return let(cut, lambda chunks: let(_running(F.transform(chunks, total), F.lit(0)), lambda bases: F.flatten(F.transform(chunks, lambda c, k: F.slice(_running(c, F.get(bases, k)), F.lit(1), F.size(c))))))
+
+    return let(lengths, lambda n: F.when(F.size(n) > CHUNK, chunked(n)).otherwise(F.slice(_running(n, F.lit(0)), F.lit(1), F.size(n))))
+
+
 def _prefix(parts: Column, gap: int) -> Column:
     """Start of each part in the text that ``parts`` make with ``gap`` characters between them."""
-    sums = F.aggregate(parts, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p) + gap)))
-    return F.slice(sums, F.lit(1), F.size(parts))
+    return _sums(F.transform(parts, lambda p: F.length(p) + gap))
 
 
 def lines(text: Column) -> Column:
@@ -56,8 +75,8 @@ def matches(text: Column, pattern: str, groups: int = 0) -> Column:
     def placed(x: Column) -> Column:
         whole, gaps = x["whole"], x["gaps"]
         steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(whole)), whole, lambda g, m: F.length(g) + F.length(m))
-        ends = F.aggregate(steps, F.array().cast("array<int>"), lambda acc, n: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n)))
-        return F.zip_with(whole, ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), m.alias("raw")))
+        befores = let(steps, lambda n: F.zip_with(_sums(n), n, lambda b, k: b + k))
+        return F.zip_with(whole, befores, lambda m, e: F.struct((e - F.length(m)).alias("start"), m.alias("raw")))
 
     out = let(F.struct(F.regexp_extract_all(text, p, F.lit(0)).alias("whole"), F.split(text, pattern, -1).alias("gaps")), placed)
     for k in range(1, groups + 1):

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from corroborate.functions import normalize as N
 from corroborate.functions import spans as S
+from corroborate.operators import browse
 from corroborate.operators import grade as G
 from corroborate.operators import noise
 from corroborate.operators import review as R
@@ -276,9 +277,9 @@ def facet_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prev_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer's orders with the one before and after, -1 for none."""
-    order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    o = table(spark, sf_dir, "orders")
-    return o.select("o_orderkey", F.coalesce(F.lag("o_orderkey").over(order), F.lit(-1)).alias("previous"), F.coalesce(F.lead("o_orderkey").over(order), F.lit(-1)).alias("next"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    beside = browse.neighbours(o, "o_orderkey", ["o_orderdate", "o_orderkey"], ["o_custkey"])
+    return beside.select("o_orderkey", F.coalesce("previous", F.lit(-1)).alias("previous"), F.coalesce("next", F.lit(-1)).alias("next"))
 
 
 def external_json(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,7 +107,7 @@ def rule_scheduled_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = lambda x: x["l_returnflag"] == "R"
     lines = _orders_lines(spark, sf_dir)
     lines = lines.withColumn("sum", F.aggregate("lines", F.lit(0).cast("bigint"), lambda a, x: a + F.when(back(x), halved(x)).otherwise(cents(x))))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", whole_cents("o_totalprice").alias("cents")).join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", whole_cents("o_totalprice").alias("cents")).join(lines.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
     total = F.when(F.col("o_orderkey") % 2 == 0, F.coalesce("sum", "cents")).otherwise(F.col("cents"))
     stated = F.array(said("policy", "total_scheduled_value", number("money", total)), F.when(F.col("o_orderkey") % 3 == 0, said("policy", "total_scheduled_value", number("money", total + 1), later())))
     worth = lambda x, i: F.array(said(unit(i + 1), "stated_value", number("money", cents(x))), F.when(back(x), said(unit(i + 1), "stated_value", number("money", halved(x)), later(), "revise")))

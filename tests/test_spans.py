@@ -1,5 +1,6 @@
 """Offsets: lines, cells, matches against Python's own, merged intervals."""
 
+import random
 import re
 
 from hypothesis import given, settings
@@ -42,3 +43,17 @@ def test_merge_and_segments(spark):
     text = spark.createDataFrame([("k", "0123456789"), ("n", "zz")], "id string, content string")
     got = S.segments(text, merged, ["id"]).orderBy("id", "start").collect()
     assert [(r.id, r.text, r.cited) for r in got] == [("k", "01234", True), ("k", "56", False), ("k", "78", True), ("k", "9", False), ("n", "zz", False)]
+
+
+def test_starts_in_long_texts(spark):
+    """Running sums by chunks: as many lines and matches as around the edges of a chunk, and very many."""
+    r = random.Random(8)
+    texts = ["\n".join("x" * r.randint(0, 3) + r.choice(["", "a1", "a22é"]) for _ in range(n)) for n in (1, 255, 256, 257, 512, 513, 30_000)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    for row in df.select("k", S.lines(F.col("t")).alias("l"), S.matches(F.col("t"), "a[0-9]+").alias("m")).collect():
+        t, at, want = texts[row.k], 0, []
+        for x in t.split("\n"):
+            want.append((x, at))
+            at += len(x) + 1
+        assert [tuple(x) for x in row.l] == want
+        assert [(m.start, m.raw) for m in row.m] == [(m.start(), m[0]) for m in re.finditer("a[0-9]+", t)]
