@@ -323,6 +323,9 @@ _TALLY = """count(*) filter (declared) as declared, count(*) filter (declared an
 _BINS = "(values (0, 0.0, 0.5), (1, 0.5, 0.6), (2, 0.6, 0.7), (3, 0.7, 0.8), (4, 0.8, 0.9), (5, 0.9, 0.95), (6, 0.95, 1.0001)) b(bin, lo, hi)"
 _BINNED = f"binned as (select bin, count(pct) as n, count(*) filter (correct and pct is not null) as correct, cast(coalesce(sum(pct), 0) as bigint) as s from {_BINS} left join graded on pct / 100.0 >= lo and pct / 100.0 < hi group by bin)"
 
+_GLYPHS = "".join(noise.CONFUSIONS)
+_READ = " ".join(f"when '{g}' then " + (f"'{r[0]}'" if len(r) == 1 else f"case when later < 0.5 then '{r[0]}' else '{r[1]}' end") for g, r in noise.CONFUSIONS.items())
+
 ORACLES = {
     "value_reconciliation": """with s as (select l_orderkey, cast(sum(cast(l_extendedprice as decimal(18,2))) as decimal(18,2)) as summed from lineitem group by 1),
  r as (select o_orderkey, cast(o_totalprice as decimal(18,2)) as stated, summed, cast(cast(o_totalprice as decimal(18,2)) - summed as decimal(18,2)) as gap from orders left join s on l_orderkey = o_orderkey)
@@ -410,6 +413,16 @@ ORACLES = {
     "facet_filter": """select count(*) as rows, count(*) filter (o_orderpriority = '1-URGENT') as urgent, round(avg(cast(o_totalprice as decimal(18,2))), 2) as mean_total from orders where o_orderstatus = 'F' and o_totalprice > 1000""",
     "prev_next": """select o_orderkey, coalesce(lag(o_orderkey) over w, -1) as previous, coalesce(lead(o_orderkey) over w, -1) as next from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)""",
     "external_json": """select event_id, cast(json_extract(props, '$.k') as bigint) as k, coalesce(n_name, '') as evidence from events left join nation on n_nationkey = cast(json_extract(props, '$.k') as bigint)""",
+    # A draw is a glyph's own if an even number of hits stands right before it, else the reading of the hit before.
+    "noise_perturb": f"""with d as (select doc_id, text, length(regexp_replace(text, '[^{_GLYPHS}]', '', 'g')) as glyphs from documents),
+ j as (select doc_id, unnest(range(1, 2 * glyphs + 1)) as j from d), s as (select doc_id, j, cast((doc_id + 1000 + j * 1831565813) & 4294967295 as ubigint) as s from j),
+ t as (select doc_id, j, (xor(s, s >> 15) * (s | 1)) & 4294967295 as t from s), x as (select doc_id, j, xor((t + ((xor(t, t >> 7) * (t | 61)) & 4294967295)) & 4294967295, t) as x from t),
+ u as (select doc_id, j, cast(xor(x, x >> 14) as double) / 4294967296 as u from x),
+ w as (select doc_id, j, u, lead(u) over (partition by doc_id order by j) as later, coalesce(max(case when u >= 0.015 then j end) over (partition by doc_id order by j rows between unbounded preceding and 1 preceding), 0) as miss from u),
+ g as (select doc_id, row_number() over (partition by doc_id order by j) as i, u < 0.015 as hit, later from w where (j - 1 - miss) % 2 = 0),
+ p as (select doc_id, unnest(regexp_extract_all(text, '[^{_GLYPHS}]*[{_GLYPHS}]')) as piece, generate_subscripts(regexp_extract_all(text, '[^{_GLYPHS}]*[{_GLYPHS}]'), 1) as i from d),
+ o as (select doc_id, string_agg(case when hit then left(piece, length(piece) - 1) || case right(piece, 1) {_READ} end else piece end, '' order by i) as noisy from p join g using (doc_id, i) group by 1)
+ select doc_id, coalesce(noisy, '') || regexp_extract(text, '[^{_GLYPHS}]*$') as text from d left join o using (doc_id)""",
     "normalizers": """select o_orderkey, cast(floor(cast(o_totalprice as decimal(18,2)) + 0.5) as bigint) as money, '12' as count from orders""",
     "roster": """with c as (select distinct cast(c_nationkey as varchar) as packet_id, (c_custkey % 100) || ' MAIN QUARRY ' || case when c_custkey % 2 = 0 then 'ST' else 'AVE' end as address from customer),
  p as (select x.packet_id, x.address as a, y.address as b, string_split(x.address, ' ') as s, string_split(y.address, ' ') as t from c x join c y on x.packet_id = y.packet_id and x.address < y.address),

@@ -1,5 +1,6 @@
 """Generated packets end to end: labels, span integrity, engines, noise; and adjudication of hand-made groups."""
 
+import random
 from datetime import datetime
 
 import pytest
@@ -87,17 +88,43 @@ def test_weak_evidence_lowers_confidence(spark):
     assert hand_made(spark, [{"v": "1", "c": 0.95}]).confidence == 0.986
 
 
-def test_noise():
-    text = "VIN 1M8 0O5S, mm"
-    assert noise.perturb_text(text, 5, 0.0) == text
-    assert noise.perturb_text(text, 5, 0.5) == noise.perturb_text(text, 5, 0.5)
+def plain_noise(text, seed, rate):
+    """Glyph by glyph, a draw after the other."""
+    state, mask = seed & 0xFFFFFFFF, 0xFFFFFFFF
+
+    def draw():
+        nonlocal state
+        state = (state + 0x6D2B79F5) & mask
+        t = ((state ^ (state >> 15)) * (state | 1)) & mask
+        t = ((t + (((t ^ (t >> 7)) * (t | 61)) & mask)) & mask) ^ t
+        return (t ^ (t >> 14)) / 2**32
+
+    out = []
+    for c in text:
+        readings = noise.CONFUSIONS.get(c, [])
+        out.append(readings[int(draw() * len(readings))] if readings and draw() < rate else c)
+    return "".join(out)
+
+
+def noisy(spark, rows, rate):
+    df = spark.createDataFrame(rows, "n int, text string, seed long, draw string")
+    return {r.n: r.text for r in noise.perturb(df, "text", "seed", rate).collect()}
+
+
+def test_noise(spark):
+    k = spark.range(1).select(*(F.transform(noise.mulberry32(F.lit(x), F.lit(1), F.lit(3)), lambda u: F.round(u, 6)).alias(n) for n, x in (("x", 1), ("y", -7)))).first()
+    assert k.x == [0.627074, 0.002736, 0.527447] and k.y != k.x
     # Draws of seed 1: 0.627, 0.003, 0.527. A glyph that is hit takes a second draw for its reading.
-    assert noise.perturb_text("e1x", 1, 0.5) == "elx" and noise.perturb_text("x1e", 1, 0.5) == "x1c" and noise.perturb_text("1,1", 1, 0.5) == "1,l"
-    assert noise.perturb_text("Gm", 1, 0.7) == "6rn" and noise.perturb_text(text, 3, -1) == text
-    full = noise.perturb_text(text, 5, 1.0)
-    assert full != text and all(a not in full for a in ["mm"])
-    draw = noise.mulberry32(1)
-    assert [round(draw(), 6) for _ in range(3)] == [0.627074, 0.002736, 0.527447]
+    assert noisy(spark, [(0, "e1x", 1, ""), (1, "x1e", 1, ""), (2, "1,1", 1, "")], 0.5) == {0: "elx", 1: "x1c", 2: "1,l"}
+    assert noisy(spark, [(0, "Gm", 1, ""), (1, None, 1, ""), (2, "1e", None, ""), (3, "", 3, "")], 0.7) == {0: "6rn", 1: None, 2: None, 3: ""}
+    assert noisy(spark, [(0, "1eGm", 3, ""), (1, None, 1, "")], -1) == {0: "1eGm", 1: None}
+    r = random.Random(4)
+    texts = ["".join(r.choice("0O1Il5Sme c\u00e9\U0001f600\n.xyz") for _ in range(r.randint(0, 60))) for _ in range(300)] + ["mmm", "xyz", "1" * 40_000, "x" * 40_000, "ce\n"]
+    rows = [(n, t, r.choice([0, 7, -3, 2**40 + n, n]), "") for n, t in enumerate(texts)]
+    for rate in (0.015, 0.3, 0.8, 1.0):
+        assert noisy(spark, rows, rate) == {n: plain_noise(t, s, rate) for n, t, s, _ in rows}
+    plan = noise.perturb(spark.createDataFrame(rows, "n int, text string, seed long, draw string"), "text", "seed")
+    assert "Python" not in plan._jdf.queryExecution().executedPlan().toString().replace("PythonRDD", "")
 
 
 def test_known_failure(spark, corpus):
