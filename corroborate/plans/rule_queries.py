@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corroborate.functions import normalize as N
+from corroborate.functions import sql
 from corroborate.functions import spans as S
 from corroborate.operators import browse
 from corroborate.operators import classify as C
@@ -259,8 +260,8 @@ def packet_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return browse.neighbours(counts, "packet_id", ["pos"]).select("packet_id", "findings", "decisions", F.coalesce("previous", F.lit("")).alias("previous"), F.coalesce("next", F.lit("")).alias("next"))
 
 
-def normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dates in three notations (years of two digits are of this century), limits, addresses and counts read from texts made of order and customer columns."""
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts made of order and customer columns: dates in three notations (years of two digits are of this century), limits, addresses, numbers."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("timestamp").alias("at"), F.floor("o_totalprice").cast("bigint").alias("n"))
     names = F.array(*map(F.lit, ["January", "Feb", "March", "apr.", "May", "June", "jul", "August", "Sept", "October", "NOV", "December"]))
     k = F.col("o_orderkey") % 3
@@ -268,9 +269,25 @@ def normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = written.otherwise(F.concat(F.element_at(names, F.month("at")), F.lit(" "), F.dayofmonth("at").cast("string"), F.lit(", "), F.year("at").cast("string")))
     limit = F.concat(F.lit("$"), F.format_number("n", 0), F.when(k == 0, " CSL").when(k == 1, " combined single limit").otherwise(" each accident"))
     address = F.concat((F.col("o_custkey") % 100).cast("string"), F.lit(" north  Main St., Suite "), (F.col("o_orderkey") % 9).cast("string"), F.when(k == 0, " boulevard").otherwise(" Lane"))
-    date, lim, place = N.date_value(written), N.limit_value(limit), N.address_value(address)
-    near = N.confusable(F.lpad((F.col("o_custkey") % 300).cast("string"), 3, "0"), F.lpad((F.col("o_orderkey") % 300).cast("string"), 3, "0"))
-    return o.select("o_orderkey", date["canonical"].alias("date"), lim["canonical"].alias("limit"), F.coalesce(lim["domain_rule"], F.lit("")).alias("limit_rule"), place["canonical"].alias("address"), near.alias("confusable"))
+    mine, other = (F.lpad((F.col(c) % 300).cast("string"), 3, "0") for c in ("o_custkey", "o_orderkey"))
+    return o.select("o_orderkey", written.alias("dated"), limit.alias("limited"), address.alias("place"), mine.alias("a"), other.alias("b"))
+
+
+def normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates, limits, addresses and look-alike numbers read from texts."""
+    date, lim, place = N.date_value(F.col("dated")), N.limit_value(F.col("limited")), N.address_value(F.col("place"))
+    texts = _written(spark, sf_dir)
+    return texts.select("o_orderkey", date["canonical"].alias("date"), lim["canonical"].alias("limit"), F.coalesce(lim["domain_rule"], F.lit("")).alias("limit_rule"), place["canonical"].alias("address"), N.confusable(F.col("a"), F.col("b")).alias("confusable"))
+
+
+def sql_normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, read by the functions that the session's SQL knows."""
+    sql.register(spark)
+    return spark.sql(
+        """select o_orderkey, date_value(dated).canonical as date, limit_value(limited).canonical as limit, coalesce(limit_value(limited).domain_rule, '') as limit_rule,
+ address_value(place).canonical as address, confusable(a, b) as confusable from {texts}""",
+        texts=_written(spark, sf_dir),
+    )
 
 
 def change_verbs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,7 +306,7 @@ def _planted() -> Column:
 QUERIES = {
     f.__name__: f
     for f in (
-        rule_scheduled_value, rule_vehicle_count, rule_vin_uniqueness, rule_loss_history, rule_locations, adjudicate_groups, adjudicate_vins, adjudicate_naive, import_run, review_load, packet_counts, normal_forms, change_verbs,
+        rule_scheduled_value, rule_vehicle_count, rule_vin_uniqueness, rule_loss_history, rule_locations, adjudicate_groups, adjudicate_vins, adjudicate_naive, import_run, review_load, packet_counts, normal_forms, sql_normal_forms, change_verbs,
     )
 }
 
@@ -357,3 +374,4 @@ ORACLES = {
  v as (select doc_id, pos, lower(list_last(regexp_extract_all(before, '(?i)\\b(add|adds|adding|added|revise|revises|revised|revision|amend|amends|amended|replace|replaces|replaced|remove|removes|removed|delete|deletes|deleted|correct|corrects|corrected|endorse|endorsed|endorsement)\\b', 1))) as verb from w)
  select doc_id, pos, case when verb like 'add%' then 'add' when verb like 'remove%' or verb like 'delete%' then 'remove' when verb is not null then 'revise' else '' end as intent from v""",
 }
+ORACLES["sql_normal_forms"] = ORACLES["normal_forms"]
