@@ -290,6 +290,27 @@ def sql_normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Small numbers in words, from zero.
+_SMALL = list(N.NUMBER_WORDS)[:20]
+
+
+def written_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts with magnitudes and cents, counts in words and digits that agree or not, month names with ordinals that may lack a year."""
+    k, n, c = F.col("o_orderkey"), (F.col("o_custkey") % 900 + 1).cast("string"), (F.col("o_custkey") % 19).cast("int")
+    amount = F.when(k % 5 == 0, F.concat(F.lit("$"), n, F.lit("K"))).when(k % 5 == 1, F.concat(F.lit("about "), n, F.lit(".5 million"))).when(k % 5 == 2, F.concat(n, F.lit(" Thousand dollars")))
+    amount = amount.when(k % 5 == 3, F.concat(F.lit("USD  $ "), n, F.lit(",250.50 a year"))).otherwise("no amount")
+    word = F.get(F.array(*map(F.lit, _SMALL)), c)
+    counted = F.when(k % 4 == 0, F.concat(c.cast("string"), F.lit(" power units"))).when(k % 4 == 1, F.concat(F.initcap(word), F.lit(" units")))
+    counted = counted.when(k % 4 == 2, F.concat(word, F.lit(" ("), c.cast("string"), F.lit(")"))).otherwise(F.concat(word, F.lit(" ("), (c + 1).cast("string"), F.lit(")")))
+    at = F.col("o_orderdate").cast("timestamp")
+    dated = F.concat(F.date_format(at, "MMMM d"), F.when(k % 2 == 0, "th").otherwise(""), F.when(k % 3 == 0, F.date_format(at, ", yyyy")).when(k % 3 == 1, "").otherwise(F.date_format(at, " yyyy")))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", N.money_value(amount).alias("m"), N.count_value(counted).alias("c"), N.date_value(dated, F.col("o_custkey") % 30 + 1990).alias("d"))
+    return o.select(
+        "o_orderkey", F.coalesce("m.numeric", F.lit(-1).cast("bigint")).alias("money"), F.coalesce("m.note", F.lit("")).alias("money_note"), F.col("c.numeric").alias("n"), F.col("c.ambiguous").alias("ambiguous"), F.coalesce("c.note", F.lit("")).alias("n_note"),
+        F.coalesce("c.domain_rule", F.lit("")).alias("n_rule"), F.col("d.canonical").alias("date"), F.col("d.note").isNotNull().alias("year_assumed"),
+    )
+
+
 def change_verbs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the last change word in the 500 characters before a comma says, for every comma of texts with planted words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(_planted(), "text").alias("t"))
@@ -306,7 +327,7 @@ def _planted() -> Column:
 QUERIES = {
     f.__name__: f
     for f in (
-        rule_scheduled_value, rule_vehicle_count, rule_vin_uniqueness, rule_loss_history, rule_locations, adjudicate_groups, adjudicate_vins, adjudicate_naive, import_run, review_load, packet_counts, normal_forms, sql_normal_forms, change_verbs,
+        rule_scheduled_value, rule_vehicle_count, rule_vin_uniqueness, rule_loss_history, rule_locations, adjudicate_groups, adjudicate_vins, adjudicate_naive, import_run, review_load, packet_counts, normal_forms, sql_normal_forms, written_values, change_verbs,
     )
 }
 
@@ -375,3 +396,8 @@ ORACLES = {
  select doc_id, pos, case when verb like 'add%' then 'add' when verb like 'remove%' or verb like 'delete%' then 'remove' when verb is not null then 'revise' else '' end as intent from v""",
 }
 ORACLES["sql_normal_forms"] = ORACLES["normal_forms"]
+ORACLES["written_values"] = """with o as (select o_orderkey, o_orderkey as k, o_custkey % 900 + 1 as n, o_custkey % 19 as c, o_custkey % 30 + 1990 as y, o_orderdate as ordered from orders),
+ m as (select *, case k % 5 when 0 then n * 1000 when 1 then n * 1000000 + 500000 when 2 then n * 1000 when 3 then n * 1000 + 251 end as money from o)
+ select o_orderkey, cast(coalesce(money, -1) as bigint) as money, case when k % 5 < 3 then 'magnitude shorthand read as ' || money else '' end as money_note, cast(case when k % 4 = 3 then c + 1 else c end as bigint) as n, k % 4 = 3 as ambiguous,
+ (['', 'spelled number', 'words and digits agree', 'words and digits disagree'])[k % 4 + 1] as n_note, case when k % 4 = 2 then 'count.dual-assertion' else '' end as n_rule,
+ case when k % 3 = 1 then y || strftime(ordered, '-%m-%d') else strftime(ordered, '%Y-%m-%d') end as date, k % 3 = 1 as year_assumed from m"""
