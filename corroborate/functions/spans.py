@@ -50,11 +50,15 @@ def cells(line: Column, start: Column) -> Column:
         first = start + at + F.length(part) - F.length(F.ltrim(part))
         return F.struct(bare.alias("value"), first.alias("start"), (first + F.length(bare)).alias("end"))
 
-    return let(F.split(line, "[|]", -1), lambda cut: F.zip_with(cut, _prefix(cut, 1), cell))
+    return let(F.split(line, PIPE, -1), lambda cut: F.zip_with(cut, _prefix(cut, 1), cell))
+
+
+#: Java splits at this without compiling a pattern.
+PIPE = r"\|"
 
 
 def is_table_line(line: Column) -> Column:
-    return F.regexp_count(line, F.lit("[|]")) >= 3
+    return F.length(line) - F.length(F.replace(line, F.lit("|"))) >= 3
 
 
 def is_rule_line(line: Column) -> Column:
@@ -68,9 +72,11 @@ def letters(text: Column) -> Column:
 def matches(text: Column, pattern: str, groups: int = 0) -> Column:
     """array<struct<start, raw, g1, g2, ...>> of all matches, left to right, without overlap.
 
-    The gaps between matches are what a split at the pattern leaves, so starts are a running sum.
+    The gaps between matches are what a split at the pattern leaves, so starts are a running sum. A text
+    without a match is searched once.
     """
     p = F.lit(pattern)
+    none = F.array().cast(f"array<struct<start:int,raw:string{''.join(f',g{k}:string' for k in range(1, groups + 1))}>>")
 
     def placed(x: Column) -> Column:
         whole, gaps = x["whole"], x["gaps"]
@@ -81,7 +87,7 @@ def matches(text: Column, pattern: str, groups: int = 0) -> Column:
     out = let(F.struct(F.regexp_extract_all(text, p, F.lit(0)).alias("whole"), F.split(text, pattern, -1).alias("gaps")), placed)
     for k in range(1, groups + 1):
         out = _with_field(out, F.regexp_extract_all(text, p, F.lit(k)), f"g{k}")
-    return out
+    return F.when(text.rlike(pattern), out).when(text.isNotNull(), none)
 
 
 def _with_field(structs: Column, values: Column, name: str) -> Column:
