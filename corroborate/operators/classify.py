@@ -51,6 +51,28 @@ def classify(groups: DataFrame, marks: DataFrame) -> DataFrame:
     return judged(g.join(last, (g["packet_id"] == last["packet_id"]) & (F.col("_last") == F.col("_doc")), "left").drop(last["packet_id"]))
 
 
+def classification(x: Column) -> Column:
+    """The class of a group: a struct (or row) of field and facts in order of arrival."""
+    facts = x["facts"]
+
+    def of(g: Column) -> Column:
+        one = F.size(g["canon"]) == 1
+        close = (x["field"] == "vin") & F.forall(g["canon"], lambda a: F.forall(g["canon"], lambda b: (a == b) | N.confusable(a, b)))
+        final = F.try_element_at(facts, F.lit(-1))
+        superseded = final["change_intent"].isNotNull() & F.exists(facts, lambda f: f["value"]["canonical"] != final["value"]["canonical"])
+        surfaces = F.array_distinct(F.transform(facts, lambda f: N.surface(f["raw"])))
+        return (
+            F.when(F.exists(facts, lambda f: f["value"]["ambiguous"]), "unresolved")
+            .when(one & (~F.exists(facts, lambda f: f["value"]["domain_rule"].isNotNull()) | (F.size(surfaces) == 1)), "consistent")
+            .when(one, "benign_variant")
+            .when(close, "unresolved")
+            .when(superseded, "supersession")
+            .otherwise("conflict")
+        )
+
+    return N.let(F.struct(F.array_distinct(F.transform(facts, lambda f: f["value"]["canonical"])).alias("canon")), of)
+
+
 def judged(groups: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """One finding per group: classification, confidence, rationale, signals, evidence, superseded_by.
 
@@ -69,17 +91,7 @@ def judged(groups: DataFrame, keep: list[str] | None = None) -> DataFrame:
             "change_words": F.exists("facts", lambda f: f["change_intent"].isNotNull()),
         }
     )
-    one = F.size("canon") == 1
-    close = (F.col("field") == "vin") & F.forall("canon", lambda a: F.forall("canon", lambda b: (a == b) | N.confusable(a, b)))
-    superseded = F.col("final.change_intent").isNotNull() & F.exists("facts", lambda f: f["value"]["canonical"] != F.col("final.value.canonical"))
-    cls = (
-        F.when(F.col("ambiguous"), "unresolved")
-        .when(one & ((F.size("surfaces") == 1) | F.col("rule").isNull()), "consistent")
-        .when(one, "benign_variant")
-        .when(close, "unresolved")
-        .when(superseded, "supersession")
-        .otherwise("conflict")
-    )
+    cls = classification(F.struct("field", "facts"))
     q = lambda x: signal("evidence.extraction-quality", F.col("q") * x)
     terms = (
         F.when(F.col("ambiguous"), F.array(signal("normalize.self-declared-ambiguous", 0.40), q(0.15)))

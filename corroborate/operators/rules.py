@@ -36,7 +36,7 @@ def packets(facts: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     group of all its readings, not adjudicated, with a null classification. ``tables`` are array<struct<TABLE>> in order. The
     rows are dealt by packet once; what is counted and gathered after that stays where it is.
     """
-    rows = L.evidence(facts).select("packet_id", "entity_key", "field", "document_id", "ev", F.lit(None).cast(_table_type(tables)).alias("t"))
+    rows = L.evidence(facts).select("packet_id", "entity_key", "field", "document_id", "ev", F.lit(None).cast(table_type()).alias("t"))
     if tables is not None:
         rows = rows.unionByName(tables.select("packet_id", F.struct(*TABLE).alias("t")), allowMissingColumns=True)
     rows = rows.repartition("packet_id")
@@ -64,7 +64,30 @@ def packets(facts: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     return found.groupBy("packet_id").agg(F.collect_list(group).alias("groups"), F.flatten(F.collect_list("tables")).alias("tables"))
 
 
-def _table_type(tables: DataFrame | None) -> str:
+def gathered(rows: DataFrame) -> DataFrame:
+    """(packet_id, groups, tables) as rules read them, from rows of packet_id, ``evidence`` (array of ``ev`` structs) and ``tables``.
+
+    For packets whose readings are one row already: they are sorted and cut into groups within the row, so
+    nothing is exploded, dealt or sorted outside. Groups have what ``derive`` reads, and no findings of their own.
+    """
+    support = lambda e: e["field"].isin(*L.SUPPORTING)
+    keyed = F.transform("evidence", lambda e: F.struct(F.when(support(e), "policy").otherwise(e["entity_key"]).alias("entity_key"), e["field"].alias("field"), e.alias("ev")))
+    apart = lambda x, y: (x["entity_key"] != y["entity_key"]) | (x["field"] != y["field"])
+
+    def group(run: Column) -> Column:
+        first = F.get(run, 0)
+        x = F.struct(first["entity_key"].alias("entity_key"), first["field"].alias("field"), F.transform(run, lambda r: r["ev"]).alias("facts"))
+        cls = lambda g: F.when(~support(g), C.classification(g))
+        return let(x, lambda g: F.struct(g["entity_key"].alias("entity_key"), g["field"].alias("field"), cls(g).alias("classification"), g["facts"].alias("evidence")))
+
+    def groups(all_: Column) -> Column:
+        starts = F.filter(F.transform(all_, lambda _, i: i), lambda i: (i == 0) | apart(F.get(all_, i), F.get(all_, i - 1)))
+        return let(starts, lambda s: F.transform(s, lambda i, k: let(F.slice(all_, i + 1, F.coalesce(F.get(s, k + 1), F.size(all_)) - i), group)))
+
+    return rows.select("packet_id", let(F.sort_array(keyed), groups).alias("groups"), "tables")
+
+
+def table_type() -> str:
     kinds = {"table_seq": "int", "document_id": "string", "document_title": "string", "received_at": "timestamp", "span": SPAN[6:-1], "units": "array<int>", "degraded": "boolean"}
     return f"struct<{','.join(f'{c}:{kinds[c]}' for c in TABLE)}>"
 
