@@ -64,11 +64,12 @@ def packets(facts: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     return found.groupBy("packet_id").agg(F.collect_list(group).alias("groups"), F.flatten(F.collect_list("tables")).alias("tables"))
 
 
-def gathered(rows: DataFrame) -> DataFrame:
+def gathered(rows: DataFrame, settle: str | None = None) -> DataFrame:
     """(packet_id, groups, tables) as rules read them, from rows of packet_id, ``evidence`` (array of ``ev`` structs) and ``tables``.
 
     For packets whose readings are one row already: they are sorted and cut into groups within the row, so
     nothing is exploded, dealt or sorted outside. Groups have what ``derive`` reads, and no findings of their own.
+    With ``settle`` only that entity's groups are classified: the rules of RULES ask for no other's class than the policy's.
     """
     support = lambda e: e["field"].isin(*L.SUPPORTING)
     keyed = F.transform("evidence", lambda e: F.struct(F.when(support(e), "policy").otherwise(e["entity_key"]).alias("entity_key"), e["field"].alias("field"), e.alias("ev")))
@@ -77,7 +78,7 @@ def gathered(rows: DataFrame) -> DataFrame:
     def group(run: Column) -> Column:
         first = F.get(run, 0)
         x = F.struct(first["entity_key"].alias("entity_key"), first["field"].alias("field"), F.transform(run, lambda r: r["ev"]).alias("facts"))
-        cls = lambda g: F.when(~support(g), C.classification(g))
+        cls = lambda g: F.when(~support(g) & (F.lit(True) if settle is None else g["entity_key"] == settle), C.classification(g))
         return let(x, lambda g: F.struct(g["entity_key"].alias("entity_key"), g["field"].alias("field"), cls(g).alias("classification"), g["facts"].alias("evidence")))
 
     def groups(all_: Column) -> Column:
