@@ -46,11 +46,13 @@ def lines(text: Column) -> Column:
 def cells(line: Column, start: Column) -> Column:
     """array<struct<value, start, end>> of the trimmed cells between pipes, at absolute offsets."""
     def cell(part: Column, at: Column) -> Column:
-        bare = F.trim(part)
-        first = start + at + F.length(part) - F.length(F.ltrim(part))
-        return F.struct(bare.alias("value"), first.alias("start"), (first + F.length(bare)).alias("end"))
+        found = F.struct(F.trim(part).alias("value"), (start + at + F.length(part) - F.length(F.ltrim(part))).alias("start"))
+        return let(found, lambda c: F.struct(c["value"].alias("value"), c["start"].alias("start"), (c["start"] + F.length(c["value"])).alias("end")))
 
-    return let(F.split(line, PIPE, -1), lambda cut: F.zip_with(cut, _prefix(cut, 1), cell))
+    # What stands before a cell is measured at once; sums are for lines of many cells.
+    before = lambda i: F.when(i == 0, 0).otherwise(F.length(F.call_function("substring_index", line, F.lit("|"), i)) + 1)
+    few = lambda cut: F.transform(cut, lambda part, i: cell(part, before(i)))
+    return let(F.split(line, PIPE, -1), lambda cut: F.when(F.size(cut) > CHUNK, F.zip_with(cut, _prefix(cut, 1), cell)).otherwise(few(cut)))
 
 
 #: Java splits at this without compiling a pattern.
@@ -69,15 +71,37 @@ def letters(text: Column) -> Column:
     return F.upper(F.regexp_replace(text, "[^A-Za-z]", ""))
 
 
+#: What marks matches and groups while a text is cut; a text that holds one of these is searched group by group.
+MATCH, GROUP = "\ufdd0", "\ufdd1"
+
+
 def matches(text: Column, pattern: str, groups: int = 0) -> Column:
     """array<struct<start, raw, g1, g2, ...>> of all matches, left to right, without overlap.
 
-    The gaps between matches are what a split at the pattern leaves, so starts are a running sum. A text
-    without a match is searched once.
+    One search marks every match and its groups; a cut at the marks leaves gaps and matches by turns, so
+    starts are a running sum. The pattern must not match an empty text.
     """
-    p = F.lit(pattern)
+    marks = F.concat(F.lit(MATCH + "$0"), *[F.lit(f"{GROUP}${k}") for k in range(1, groups + 1)], F.lit(MATCH))
     none = F.array().cast(f"array<struct<start:int,raw:string{''.join(f',g{k}:string' for k in range(1, groups + 1))}>>")
 
+    def located(cut: Column, own: Column) -> Column:
+        befores = _sums(F.transform(own, lambda m, k: F.length(F.get(cut, 2 * k)) + F.length(F.get(m, 0))))
+        one = lambda m, b, k: F.struct((b + F.length(F.get(cut, 2 * k))).alias("start"), F.get(m, 0).alias("raw"), *[F.get(m, g).alias(f"g{g}") for g in range(1, groups + 1)])
+        first = F.transform(own, lambda m, k: one(m, F.lit(0), k))
+        return F.when(F.size(own) == 1, first).otherwise(let(befores, lambda b: F.transform(own, lambda m, k: one(m, F.get(b, k), k))))
+
+    def placed(cut: Column) -> Column:
+        own = F.transform(F.sequence(F.lit(1), F.size(cut) - 2, F.lit(2)), lambda i: F.split(F.get(cut, i), GROUP, -1))
+        return F.when(F.size(cut) == 1, none).otherwise(let(own, lambda o: located(cut, o)))
+
+    plain = let(F.split(F.regexp_replace(text, F.lit(pattern), marks), MATCH, -1), placed)
+    return F.when(text.contains(MATCH) | text.contains(GROUP), _searched(text, pattern, groups)).when(text.isNotNull(), plain)
+
+
+def _searched(text: Column, pattern: str, groups: int) -> Column:
+    """The same with a search for each group: the gaps are what a split at the pattern leaves."""
+    p = F.lit(pattern)
+
     def placed(x: Column) -> Column:
         whole, gaps = x["whole"], x["gaps"]
         steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(whole)), whole, lambda g, m: F.length(g) + F.length(m))
@@ -87,7 +111,7 @@ def matches(text: Column, pattern: str, groups: int = 0) -> Column:
     out = let(F.struct(F.regexp_extract_all(text, p, F.lit(0)).alias("whole"), F.split(text, pattern, -1).alias("gaps")), placed)
     for k in range(1, groups + 1):
         out = _with_field(out, F.regexp_extract_all(text, p, F.lit(k)), f"g{k}")
-    return F.when(text.rlike(pattern), out).when(text.isNotNull(), none)
+    return out
 
 
 def _with_field(structs: Column, values: Column, name: str) -> Column:

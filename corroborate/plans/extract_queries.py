@@ -41,17 +41,22 @@ def _pick(key: Column, *values: str) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (key % len(values) + 1).cast("int"))
 
 
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` dealt evenly by ``key``: reading a text costs far more than moving its rows, however few files
+    there are. The number of parts is given, as AQE would else make few of so few bytes."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_returnflag", "l_linestatus")
-    return table(spark, sf_dir, "lineitem").withColumn("unit", F.row_number().over(order))
+    return _dealt(table(spark, sf_dir, "lineitem"), "l_orderkey").withColumn("unit", F.row_number().over(order))
 
 
 _UNITS_SQL = """with units as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_returnflag, l_linestatus) as unit from lineitem)"""
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders dealt evenly: reading a text costs far more than moving its order, however few files there are."""
-    return table(spark, sf_dir, "orders").select(KEY, "o_totalprice", "o_orderdate").repartition(KEY)
+    return _dealt(table(spark, sf_dir, "orders").select(KEY, "o_totalprice", "o_orderdate"), KEY)
 
 
 def extract_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
