@@ -10,7 +10,8 @@ class transitions times word emissions give each text's probability.
 4. Every word with ``ample`` occurrences and one ``share`` of all tokens, and the endings, are exchanged
    by their own contexts (counts of the classes before and after), in sweeps over partitions against
    the grid of classes. By a share of the tokens, and not a rank or a count alone, about as many words
-   have a class of their own contexts at every size, and the contexts grow in proportion to the texts.
+   are summed densely in a task at every size, and the contexts grow in proportion to the texts.
+5. All other words of the head are exchanged the same way, by contexts that meet in a shuffle.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ class Settings:
     #: Words with a number of their own, at most. A word over LONGEST bytes counts by a stand-in.
     head: int = 1 << 19
     clustered: int = 512
-    #: Occurrences, and share of all tokens, from which a word of the head has a class of its own contexts.
+    #: Occurrences, and share of all tokens, from which a word of the head is exchanged before the others.
     ample: int = 100
     share: float = 2.0**-17
     endings: int = 128
@@ -180,7 +181,7 @@ def numbered(docs: DataFrame, v: Vocabulary) -> DataFrame:
 
 def _streams(parts: Iterator[pa.RecordBatch], place: np.ndarray) -> Iterator[np.ndarray]:
     """The units of the texts of each batch one after another, an edge before the first and after each."""
-    for batch in batches(parts, 16 << 20):
+    for batch in batches(parts, 4 << 20):
         ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.int32)
         yield place[np.append(ids[-1:], ids)]
 
@@ -291,6 +292,61 @@ def contexts(ids: DataFrame, place: np.ndarray, own: np.ndarray, classes: int) -
     return parts.groupBy("unit").agg(*[F.sum(c).alias(c) for c in names]).sortWithinPartitions("unit")
 
 
+def rare_contexts(ids: DataFrame, cls: np.ndarray, first: int, size: int, classes: int) -> DataFrame:
+    """The columns of ``contexts`` for the words numbered ``first`` to ``size`` - 1; ``cls`` has the class of each number.
+
+    Such a word has few contexts in a task, so only those that occur are moved.
+    """
+    shared = ids.sparkSession.sparkContext.broadcast(cls.astype(np.int16))
+    names = [f"a{k}" for k in range(classes)] + [f"b{k}" for k in range(classes)] + ["same"]
+    wide = len(names)
+
+    def summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        got, at = np.unique(np.concatenate(codes), return_inverse=True)
+        return got, np.bincount(at, np.concatenate(counts), len(got)).astype(np.int32)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number_class = shared.value
+        same = np.arange(len(number_class), dtype=np.int32)
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int32))
+
+        def out() -> Iterator[pa.RecordBatch]:
+            unit, slot = np.divmod(held[0], wide)
+            for k in range(0, len(unit), 1 << 16):
+                some = slice(k, k + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(unit[some], pa.int32()), pa.array(slot[some], pa.int16()), pa.array(held[1][some], pa.int32())], names=["unit", "slot", "n"])
+
+        for row in _streams(parts, same):
+            at = np.flatnonzero((row >= first) & (row < size))  # never the edges at either end
+            base, own = row[at].astype(np.int64) * wide, row[at]
+            codes = np.concatenate([base + number_class[row[at + 1]], base + classes + number_class[row[at - 1]], base[own == row[at - 1]] + wide - 1])
+            held = summed([held[0], codes], [held[1], np.ones(len(codes), np.int32)])
+            if len(held[0]) > 1_000_000:
+                yield from out()
+                held = (np.zeros(0, np.int64), np.zeros(0, np.int32))
+        yield from out()
+
+    def wide_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(u: np.ndarray, slot: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            units, at = np.unique(u, return_inverse=True)
+            for k in range(0, len(units), 4096):
+                some = (at >= k) & (at < k + 4096)
+                width = min(4096, len(units) - k)
+                table = np.bincount((at[some] - k) * wide + slot[some], n[some], width * wide).astype(np.int64).reshape(width, wide)
+                yield pa.RecordBatch.from_arrays([pa.array(units[k : k + width], pa.int32()), *[pa.array(x, pa.int64()) for x in table.T]], names=["unit", *names])
+
+        rest: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
+        for batch in parts:
+            u, slot, n = (np.append(r, c.to_numpy().astype(np.int64)) for r, c in zip(rest, batch.columns, strict=True))
+            cut = int(np.searchsorted(u, u[-1])) if len(u) else 0  # the last word may go on in the next batch
+            yield from out(u[:cut], slot[:cut], n[:cut])
+            rest = [u[cut:], slot[cut:], n[cut:]]
+        yield from out(*rest)
+
+    parts = ids.select("ids").mapInArrow(run, "unit int, slot short, n int")
+    return parts.repartition("unit").sortWithinPartitions("unit").mapInArrow(wide_rows, ", ".join(["unit int", *[f"{c} long" for c in names]]))
+
+
 def choices(near: DataFrame, own: np.ndarray, grid: np.ndarray) -> np.ndarray:
     """The classes after one sweep over ``near``; each task knows its own moves only."""
     classes = len(grid)
@@ -328,11 +384,11 @@ def likelihood(grid: np.ndarray) -> float:
     return float(_f(grid).sum() - _f(grid.sum(0)).sum() - _f(grid.sum(1)).sum())
 
 
-def cluster(ids: DataFrame, v: Vocabulary, total: int, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The unit of each number, the class of each unit and the grid of class bigrams.
+def cluster(ids: DataFrame, v: Vocabulary, total: int, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each number and the grid of class bigrams.
 
-    Units are the ample words, the endings and the edge. A sweep that does not raise the likelihood
-    (tasks do not know each other's moves) is not taken.
+    Ample words move first, then all other words of the head. A sweep that does not raise the
+    likelihood (tasks do not know each other's moves) is not taken.
     """
     tops = min(s.clustered, v.size)
     last = max(tops, int((v.counts >= max(s.ample, s.share * total)).sum()))
@@ -351,7 +407,13 @@ def cluster(ids: DataFrame, v: Vocabulary, total: int, s: Settings) -> tuple[np.
         if likelihood(new) <= likelihood(grid):
             break
         own, grid = then, new
-    return place, own, grid
+    own = own[place]
+    if last < v.size:
+        then = choices(rare_contexts(ids, own, last, v.size, s.classes), own, grid)
+        new = matrix(ids, then.astype(np.int32), s.classes)
+        if likelihood(new) > likelihood(grid):
+            own, grid = then, new
+    return own, grid
 
 
 @dataclass
@@ -369,9 +431,9 @@ class Model:
 def learn(ids: DataFrame, counts: DataFrame, v: Vocabulary, s: Settings) -> Model:
     """The model of the texts behind ``ids`` (their numbers) and ``counts`` (all their words)."""
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    place, own, grid = cluster(ids, v, total, s)
-    last = len(own) - s.endings - 1
-    # Tokens and kinds of words behind each unit.
+    own, grid = cluster(ids, v, total, s)
+    last = v.size
+    # Tokens and kinds of words behind each number.
     tokens, sorts = np.zeros(len(own)), np.zeros(len(own))
     tokens[:last] = v.counts[:last]
     sorts[:last] = 1
@@ -385,7 +447,7 @@ def learn(ids: DataFrame, counts: DataFrame, v: Vocabulary, s: Settings) -> Mode
     mass = np.bincount(own, tokens, s.classes) + np.bincount(own, sorts, s.classes)
     usual = (grid.sum(0) + 1) / (grid.sum() + s.classes)
     step = np.log10((grid + s.backoff * usual) / (grid.sum(1, keepdims=True) + s.backoff))
-    number_class = own[place].astype(np.int16)
+    number_class = own.astype(np.int16)
     log_count = np.r_[np.log10(v.counts + 1.0), np.zeros(s.endings), np.log10(ends + 1)]
     return Model(v.words, number_class[: v.size], number_class, log_count, step, np.log10(np.maximum(mass, 1)), int(total), float(np.log10(total + kinds + 1)))
 
