@@ -125,8 +125,11 @@ def last_index(text: Column, part: Column) -> Column:
 
 
 def merge_spans(spans: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
-    """Union of the intervals of each key; touching intervals merge."""
-    order = Window.partitionBy(*keys).orderBy(start, end)
+    """Union of the intervals of each key; touching intervals merge.
+
+    An open end comes after its start's other ends, so that it cannot cut them off; an open start joins its key's last interval.
+    """
+    order = Window.partitionBy(*keys).orderBy(F.asc_nulls_last(start), F.asc_nulls_last(end))
     before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(before.isNull() | (F.col(start) > before), 1).otherwise(0)
     island = F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))

@@ -265,7 +265,7 @@ def merge_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ship-date intervals of a part (as long as the quantity, in days), merged."""
     li = table(spark, sf_dir, "lineitem")
     first = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
-    rows = li.select("l_partkey", first.alias("start"), (first + F.col("l_quantity").cast("long")).alias("end"))
+    rows = li.select("l_partkey", first.alias("start"), (first + F.rint("l_quantity").cast("long")).alias("end"))
     return S.merge_spans(rows, ["l_partkey"]).select("l_partkey", F.col("start").alias("first_day"), F.col("end").alias("last_day"))
 
 

@@ -3,11 +3,13 @@
 import random
 import re
 
+import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corroborate.functions import spans as S
+from corroborate.plans import queries
 
 TEXTS = ["", "a1b22\n333", "é1 😀22", "no digits", "12", "1\n\n2\n", "x|| y |z|", "  | a | b|c "]
 
@@ -45,6 +47,14 @@ def test_merge_and_segments(spark):
     assert [(r.id, r.text, r.cited) for r in got] == [("k", "01234", True), ("k", "56", False), ("k", "78", True), ("k", "9", False), ("n", "zz", False)]
 
 
+def test_merged_days_as_sql_with_nulls_and_fractions(spark, tmp_path):
+    con, file = duckdb.connect(), str(tmp_path / "lineitem.parquet")
+    rows = "(1, 9, null), (1, 9, 3.0), (1, 9, 3.0), (1, 2, 2.5), (1, 5, 3.5), (1, null, 4.0), (2, 4, null), (2, 4, 1.5), (3, null, 1.0), (3, null, null), (null, 3, 1.0), (null, 4, 0.5), (4, 6, 0.0)"
+    con.sql(f"copy (select l_partkey, timestamp '2020-01-01' + to_days(d) as l_shipdate, cast(q as double) as l_quantity from (values {rows}) t(l_partkey, d, q)) to '{file}' (format parquet)")
+    want = con.sql(queries.ORACLES["merge_spans"].replace("from lineitem", f"from '{file}'")).fetchall()
+    assert sorted(map(tuple, queries.merge_spans(spark, str(tmp_path)).collect()), key=str) == sorted(want, key=str)
+
+
 def test_starts_in_long_texts(spark):
     """Running sums by chunks: as many lines and matches as around the edges of a chunk, and very many."""
     r = random.Random(8)
