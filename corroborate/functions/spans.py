@@ -14,6 +14,8 @@ from corroborate.functions.normalize import let
 
 #: Sums run over so many parts at a time, so that long texts take few copies of what is summed so far.
 CHUNK = 256
+#: Lines of a text whose starts are measured one by one.
+FEW = 24
 
 
 def _running(lengths: Column, zero: Column) -> Column:
@@ -39,8 +41,14 @@ def _prefix(parts: Column, gap: int) -> Column:
 
 def lines(text: Column) -> Column:
     """array<struct<text, start>> of the lines cut at line feeds."""
-    placed = lambda cut: F.zip_with(cut, _prefix(cut, 1), lambda t, s: F.struct(t.alias("text"), s.alias("start")))
-    return let(F.split(text, "\n", -1), placed)
+    line = lambda t, s: F.struct(t.alias("text"), s.alias("start"))
+    few = lambda cut: F.transform(cut, lambda t, i: line(t, before(text, "\n", i)))
+    return let(F.split(text, "\n", -1), lambda cut: F.when(F.size(cut) > FEW, F.zip_with(cut, _prefix(cut, 1), line)).otherwise(few(cut)))
+
+
+def before(text: Column, mark: str, i: Column) -> Column:
+    """Where part ``i`` of a text cut at a character starts: measured at once, as sums are for texts of many parts."""
+    return F.when(i == 0, 0).otherwise(F.length(F.call_function("substring_index", text, F.lit(mark), i)) + 1)
 
 
 def cells(line: Column, start: Column) -> Column:
@@ -49,9 +57,7 @@ def cells(line: Column, start: Column) -> Column:
         found = F.struct(F.trim(part).alias("value"), (start + at + F.length(part) - F.length(F.ltrim(part))).alias("start"))
         return let(found, lambda c: F.struct(c["value"].alias("value"), c["start"].alias("start"), (c["start"] + F.length(c["value"])).alias("end")))
 
-    # What stands before a cell is measured at once; sums are for lines of many cells.
-    before = lambda i: F.when(i == 0, 0).otherwise(F.length(F.call_function("substring_index", line, F.lit("|"), i)) + 1)
-    few = lambda cut: F.transform(cut, lambda part, i: cell(part, before(i)))
+    few = lambda cut: F.transform(cut, lambda part, i: cell(part, before(line, "|", i)))
     return let(F.split(line, PIPE, -1), lambda cut: F.when(F.size(cut) > CHUNK, F.zip_with(cut, _prefix(cut, 1), cell)).otherwise(few(cut)))
 
 

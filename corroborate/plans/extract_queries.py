@@ -22,8 +22,7 @@ def read(texts: DataFrame) -> DataFrame:
         F.col(KEY).cast("string").alias("packet_id"), F.lit(0).alias("doc_pos"), F.lit("D").alias("doc_id"), F.lit("note").alias("kind"), F.lit("T").alias("title"),
         F.lit("2025-06-01 00:00:00").cast("timestamp").alias("received_at"), "content",
     )
-    facts = X.each(X.read_documents(docs), "facts")
-    return facts.select(
+    return X.read_facts(docs).select(
         F.col("packet_id").cast("bigint").alias(KEY), "entity_key", "field", F.col("value.canonical").alias("canonical"), "raw", F.col("start").cast("bigint").alias("start"), "confidence",
         F.coalesce("value.domain_rule", F.lit("")).alias("rule"), F.coalesce("value.ambiguous", F.lit(False)).alias("ambiguous"), F.coalesce("change_intent", F.lit("")).alias("intent"), (F.col("quote") == F.col("raw")).alias("quoted"),
     )
